@@ -243,20 +243,19 @@ def window_values(flows: DataFrame, W: int, S: int) -> DataFrame:
 
 
 def spread_values(values: DataFrame, fields: list[str]) -> DataFrame:
-    """Long window values to one row per window."""
+    """Long window values to one row per window, through one small map per window."""
+    entry = F.struct("field", F.struct("mode", "n_unique", "attack_mode").alias("v"))
+    maps = values.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     picks = []
     for f in fields:
-        here = F.col("field") == f
+        here = F.try_element_at("_m", F.lit(f))
         if f in CATEGORICAL:
-            picks += [
-                F.max(F.when(here, F.col("mode"))).alias(f"{f}_mode"),
-                F.max(F.when(here, F.col("n_unique"))).alias(f"{f}_n_unique"),
-            ]
+            picks += [here["mode"].alias(f"{f}_mode"), here["n_unique"].alias(f"{f}_n_unique")]
         elif f in ATTACK_LABELS:
-            picks.append(F.max(F.when(here, F.col("attack_mode"))).alias(f"{f}_win"))
+            picks.append(here["attack_mode"].alias(f"{f}_win"))
         else:
-            picks.append(F.max(F.when(here, F.col("n_unique"))).alias(f"n_unique_{f}"))
-    return values.groupBy(*KEY).agg(*picks)
+            picks.append(here["n_unique"].alias(f"n_unique_{f}"))
+    return maps.select(*KEY, *picks)
 
 
 def network_windows(

@@ -9,7 +9,7 @@ from crosswin.operators.network import (
     KEY, moment_aggs, moment_mean, moment_merge, moment_std, pane_seconds, panes_to_windows, require,
 )
 from crosswin.operators.scale import attach, ordinal, settle
-from crosswin.operators.series import densify, fill_both_ways, previous
+from crosswin.operators.series import densify, fill_both_ways
 
 COUNTERS = ("dlBytes", "ulBytes")
 NOT_KPI = {"run_id", "family", "ord", "ts_raw", "t_rel_s", "ue_id", "rnti", "cellid", "in_sync", "pmi", *COUNTERS}
@@ -19,31 +19,29 @@ MILLIS = 10**11  # epochs above this are milliseconds
 
 def detect_time_mode(records: DataFrame) -> DataFrame:
     """Per run: ``timestamp`` if any record has a usable time, else ``implicit``; first time."""
+    family = [F.min("family").alias("family")] if "family" in records.columns else []
     return records.groupBy("run_id").agg(
         F.when(F.count("ts_raw") > 0, "timestamp").otherwise("implicit").alias("time_mode"),
         F.min("ts_raw").alias("ts0"),
         F.count("*").alias("n_raw_rows"),
+        *family,
     )
 
 
-def to_seconds_index(records: DataFrame) -> DataFrame:
+def to_seconds_index(records: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Add ``t_rel_s`` and ``time_mode``.
 
     Timed runs: seconds since the earliest time, milliseconds recognised by size, records
     without a time dropped. Untimed runs: one record per second, in line order.
     """
     require(records, ["run_id", "ord", "ts_raw", *COUNTERS], "telemetry")
-    facts = settle(detect_time_mode(records), "time-mode")
-    timed = attach(
-        records.where(F.col("ts_raw").isNotNull()),
-        facts.where("time_mode = 'timestamp'").select("run_id", "time_mode", "ts0"),
-        "run_id", "inner",
-    )
+    facts = settle(detect_time_mode(records), "time-mode") if facts is None else facts
+    facts = facts.select("run_id", "time_mode", "ts0")
+    timed = attach(records.where(F.col("ts_raw").isNotNull()), facts, "run_id", "inner", settled=True)
     since = F.col("ts_raw") - F.col("ts0")
     seconds = F.when(F.col("ts0") > MILLIS, F.floor(since / 1000)).otherwise(since)
     timed = timed.withColumn("t_rel_s", F.greatest(seconds, F.lit(0)).cast("bigint")).drop("ts0")
-    untimed = attach(
-        records, facts.where("time_mode = 'implicit'").select("run_id", "time_mode"), "run_id", "inner")
+    untimed = attach(records, facts.where("time_mode = 'implicit'").drop("ts0"), "run_id", "inner", settled=True)
     return timed.unionByName(ordinal(untimed, ["run_id"], "ord", "t_rel_s"))
 
 
@@ -72,41 +70,28 @@ def aggregate_seconds(timed: DataFrame, kpis: list[str]) -> DataFrame:
 def radio_seconds(records: DataFrame, kpis: list[str] | None = None) -> DataFrame:
     """Dense per-second table of every run, with filled counters, rates and resets."""
     kpis = kpi_columns(records) if kpis is None else kpis
+    facts = settle(detect_time_mode(records), "time-mode")
     timed = to_seconds_index(records.select(
-        "run_id", "ord", "ts_raw", *COUNTERS, *kpis, *[c for c in ("ue_id",) if c in records.columns]))
+        "run_id", "ord", "ts_raw", *COUNTERS, *kpis, *[c for c in ("ue_id",) if c in records.columns]), facts)
     seconds = settle(aggregate_seconds(timed, kpis), "seconds")
-    dense = densify(seconds, ["run_id"], "t_rel_s")
-    filled = fill_both_ways(dense, ["run_id"], "t_rel_s", list(COUNTERS))
-    filled = filled.withColumn(
-        "totalBytes_counter_filled", F.col("dlBytes_filled") + F.col("ulBytes_filled")
-    ).drop("dlBytes_filled", "ulBytes_filled")
-    rated = counter_rate(settle(filled, "filled"), "totalBytes_counter_filled")
-    facts = records.groupBy("run_id").agg(
-        F.min("family").alias("family"),
-        F.when(F.count("ts_raw") > 0, "timestamp").otherwise("implicit").alias("time_mode"),
-    )
+    filled = fill_both_ways(densify(seconds, ["run_id"], "t_rel_s"), ["run_id"], "t_rel_s", list(COUNTERS))
+    total = sum((F.col(f"{c}_filled") for c in COUNTERS[1:]), F.col(f"{COUNTERS[0]}_filled"))
+    before = sum((F.col(f"{c}_before") for c in COUNTERS[1:]), F.col(f"{COUNTERS[0]}_before"))
     zero = F.lit(0).cast("bigint")
-    return attach(rated, facts, "run_id").select(
+    delta = total - before
+    return attach(filled, facts.select("run_id", "family", "time_mode"), "run_id", settled=True).select(
         "run_id", "family", "time_mode", "t_rel_s", *COUNTERS, *kpis,
         F.coalesce("row_count", zero).alias("row_count"),
         F.coalesce("ue_count", zero).alias("ue_count"),
         F.col("row_count").isNotNull().alias("sec_has_record"),
         F.col("row_count").isNull().cast("int").alias("sec_missing"),
-        "totalBytes_counter_filled", "rate_total", "reset_indicator", "reset_delta_raw",
+        total.alias("totalBytes_counter_filled"),
+        F.greatest(delta, F.lit(0.0)).alias("rate_total"),
+        (delta < 0).cast("int").alias("reset_indicator"),
+        delta.alias("reset_delta_raw"),
     )
 
 
-def counter_rate(series: DataFrame, counter: str) -> DataFrame:
-    """Rate of a counter per step: negative jumps are resets and count as rate 0."""
-    d = previous(series, ["run_id"], "t_rel_s", counter, "_prev")
-    delta = F.col(counter) - F.coalesce(F.col("_prev"), F.col(counter))
-    return d.withColumns({
-        "rate_total": F.greatest(delta, F.lit(0.0)),
-        "reset_indicator": (delta < 0).cast("int"),
-        "reset_delta_raw": delta,
-    }).drop("_prev")
-
-
 def radio_windows(seconds: DataFrame, index: DataFrame, W: int, S: int, kpis: list[str]) -> DataFrame:
     """Radio features of the windows in ``index``; labels are carried over from it.
 
@@ -121,6 +106,7 @@ def radio_windows(seconds: DataFrame, index: DataFrame, W: int, S: int, kpis: li
     )
     stats = panes_to_windows(panes, W, S).groupBy(*KEY).agg(
         F.sum("present").alias("present"), *moment_merge(names))
+    seconds = settle(seconds, "radio-seconds")
     known = seconds.select("run_id").distinct().withColumn("_known", F.lit(True))
     labels = [c for c in ("traffic_type_win", "attack_category_win", "attack_type_win", "n_flows", "attack_flow_frac")
               if c in index.columns]

@@ -14,15 +14,13 @@ FAMILY_SQL = "['Benign','BruteForce','DDOS','DoS','Probe','Web']"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold times without zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(ts: str) -> Column:
-    """Microseconds since the epoch of a timestamp without zone, whatever the session zone."""
-    return F.expr(
-        f"unix_date(to_date({ts})) * 86400000000L + hour({ts}) * 3600000000L"
-        f" + minute({ts}) * 60000000L + cast(extract(SECOND from {ts}) * 1000000 as bigint)"
-    )
+    """Microseconds since the epoch."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def family_of(uid: Column) -> Column:

@@ -54,7 +54,7 @@ rsec AS (
 
 
 @query("detect_time_mode", "S5", f"""WITH {SEC_SQL}
-SELECT run_id, time_mode, ts0, n_raw_rows FROM mode""")
+SELECT run_id, family, time_mode, ts0, n_raw_rows FROM mode""")
 def _detect_time_mode(spark, d):
     return radio.detect_time_mode(records(spark, d))
 
