@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crosswin.plans import q_network, q_pairing, q_radio  # noqa: F401
+from crosswin.plans import q_network, q_radio, q_pairing, q_alignment, q_splits  # noqa: F401
 
 
 def flagship(spark, sf_dir):
