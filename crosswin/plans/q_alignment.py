@@ -220,6 +220,16 @@ tiers AS (
          WHEN reason = 'accepted' THEN 'accepted_weak' ELSE 'rejected' END AS tier FROM notes)"""
 
 
+def _once(sql: str) -> str:
+    """Compute shared steps of the oracle once."""
+    for name in ("raw", "raw0", "net_d", "rad_d", "lens", "coarse", "cb", "fine", "curves", "bst", "al", "ap", "rs", "sh", "nt", "tiers"):
+        sql = sql.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (")
+    return sql
+
+
+BEST_SQL, ACC_SQL = _once(BEST_SQL), _once(ACC_SQL)
+
+
 def results(spark, d, short: int = al.SHORT):
     net, rad = dense_pair(spark, d)
     r = al.align_runs(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH, False, EXCL, ITERS, QUANT, 0.0, SEED, short=short)

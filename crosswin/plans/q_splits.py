@@ -183,7 +183,7 @@ def _run_folds_multiclass(spark, d):
 @query("fold_rows", "M6", f"""WITH RECURSIVE {FOLD_SQL}
 SELECT s.doc_id, s.run_id, f.fold FROM scores s JOIN (SELECT run_id, fold FROM fw WHERE pos > 0) f USING (run_id)""")
 def _fold_rows(spark, d):
-    s = b.scores(spark, d)
+    s = b.scores(spark, d).drop("fold")
     return rounded(sp.fold_rows(s, sp.run_folds_binary(s, 4, 11)).select("doc_id", "run_id", "fold"))
 
 
