@@ -195,9 +195,10 @@ rs AS (
 sh AS (
   SELECT run_id, n, j, ms + CAST('0x' || substr(md5(run_id || '|{SEED}|' || j), 1, 8) AS BIGINT) % (n - 2 * ms) AS s
   FROM rs, (SELECT unnest(range(0, {ITERS})) AS j) WHERE n >= {MIN_OV} AND n >= 3 AND oc IS NOT NULL AND n >= 2 * ms + 10),
+ax AS MATERIALIZED (SELECT a.run_id, s.j, a.x, (a.i - s.s + s.n) % s.n AS i2 FROM sh s JOIN al a ON a.run_id = s.run_id),
 nc AS (
-  SELECT a.run_id, s.j, CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(c.y) > 0 THEN corr(a.x, c.y) END AS c
-  FROM sh s JOIN al a ON a.run_id = s.run_id JOIN al c ON c.run_id = a.run_id AND c.i = (a.i - s.s + s.n) % s.n GROUP BY 1, 2),
+  SELECT a.run_id, a.j, CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(c.y) > 0 THEN corr(a.x, c.y) END AS c
+  FROM ax a JOIN al c ON c.run_id = a.run_id AND c.i = a.i2 GROUP BY 1, 2),
 nt AS (SELECT run_id, count(c) AS n_null, quantile_cont(c, {QUANT}) AS thr FROM nc GROUP BY 1),
 acc AS (
   SELECT r.*, p.nxt, CASE WHEN n_null >= {max(20, ITERS // 4)} THEN thr END AS thr,
