@@ -204,5 +204,3 @@ def class_windows_range(per_run: DataFrame) -> DataFrame:
     med = exact_quantiles(have, [], "class_windows", {"median": 0.5}).select("median")
     return have.agg(F.count("*").alias("runs"), F.min("class_windows").alias("min"), F.max("class_windows").alias("max")).crossJoin(
         F.broadcast(med))  # one row each
-
-

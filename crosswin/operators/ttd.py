@@ -42,16 +42,18 @@ def onset_violations(rows: DataFrame, onsets: DataFrame, benign: str = "Benign")
     return j.select("run_id", problem.alias("problem")).where("problem is not null")
 
 
-def first_detections(rows: DataFrame, onsets: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+def first_detections(
+    rows: DataFrame, onsets: DataFrame, thresholds: DataFrame, keys: list[str], part_keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Per group, threshold and attack run: onset, first alarm at or after it, delay.
 
     ``onsets``: run_id, onset_s (null onset counts as a miss). ``keys`` link rows to
-    thresholds. Rows that are not attack runs are left out.
+    thresholds, ``part_keys`` split the result further. Rows of other runs are left out.
     """
     near = attach(rows, onsets, "run_id", "inner")
     shots = attach(near, settle(thresholds, "thresholds"), keys, "inner", settled=True)
     alarm = (F.col("window_end_s") >= F.col("onset_s")) & (F.col("score") >= F.col("threshold")) & ~F.isnan("score")
-    g = shots.groupBy(*keys, "threshold_policy", "fpr_target", "run_id").agg(
+    g = shots.groupBy(*keys, *part_keys, "threshold_policy", "fpr_target", "run_id").agg(
         F.max("onset_s").alias("onset_s"), F.min(F.when(alarm, F.col("window_end_s"))).alias("detect_s"))
     found = F.col("detect_s").isNotNull()
     delay = F.greatest(F.col("detect_s") - F.col("onset_s"), F.lit(0.0)).cast("double")
