@@ -74,7 +74,8 @@ def radio_seconds(records: DataFrame, kpis: list[str] | None = None) -> DataFram
     timed = to_seconds_index(records.select(
         "run_id", "ord", "ts_raw", *COUNTERS, *kpis, *[c for c in ("ue_id",) if c in records.columns]), facts)
     seconds = settle(aggregate_seconds(timed, kpis), "seconds")
-    filled = fill_both_ways(densify(seconds, ["run_id"], "t_rel_s"), ["run_id"], "t_rel_s", list(COUNTERS))
+    dense = settle(densify(seconds, ["run_id"], "t_rel_s"), "dense")  # read twice below
+    filled = fill_both_ways(dense, ["run_id"], "t_rel_s", list(COUNTERS))
     total = sum((F.col(f"{c}_filled") for c in COUNTERS[1:]), F.col(f"{COUNTERS[0]}_filled"))
     before = sum((F.col(f"{c}_before") for c in COUNTERS[1:]), F.col(f"{COUNTERS[0]}_before"))
     zero = F.lit(0).cast("bigint")

@@ -208,12 +208,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def grid(df: DataFrame, last: str, out: str, step: int = 1, block: int = 4096) -> DataFrame:
     """One row per value 0, step, ... , up to ``last`` (inclusive; none when it is negative).
 
-    Built as blocks first, so a very long run never needs one huge array.
+    Built as blocks first, so a very long run never needs one huge array; the blocks are spread
+    over all tasks before they grow into rows.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.floor(F.col(last) / step)
     blocks = df.where(F.col(last) >= 0).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(n / block)))
     )
+    blocks = blocks.repartition(tasks, *[c for c in df.columns if c != last], "_b")
     top = F.least((F.col("_b") + 1) * block - 1, n)
     values = F.sequence(F.col("_b") * block * step, top * step, F.lit(step).cast("bigint"))
     return blocks.withColumn(out, F.explode(values)).drop("_b")

@@ -52,13 +52,17 @@ def previous(df: DataFrame, keys: list[str], t: str, value: str, out: str, size:
 def fill_both_ways(df: DataFrame, keys: list[str], t: str, columns: list[str], size: int = CHUNK) -> DataFrame:
     """Fill the gaps of dense columns: last known value, before the first one the next known,
     else 0. Adds ``<column>_filled`` and ``<column>_before``, the filled value one step earlier
-    (the value itself on the first step)."""
+    (the value itself on the first step).
+
+    Only the steps before the first known value are filled backwards, and all of them from
+    that value. One forward pass and one row per chunk therefore suffice.
+    """
     d = _chunk(df, t, size)
     order = Window.partitionBy(*keys, "_c").orderBy(t)
     back = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
+    chunks = Window.partitionBy(*keys).orderBy("_c")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    whole = chunks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     known = {c: F.when(F.col(c).isNotNull(), F.col(t)) for c in columns}
     edges = d.groupBy(*keys, "_c").agg(
         *[F.max_by(c, k).alias(f"_l_{c}") for c, k in known.items()],
@@ -67,21 +71,13 @@ def fill_both_ways(df: DataFrame, keys: list[str], t: str, columns: list[str], s
     carry = edges.select(
         *keys, "_c",
         *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in columns],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in columns],
-    )
-    local = d.select(
-        "*",
-        *[F.last(c, ignorenulls=True).over(back).alias(f"_b_{c}") for c in columns],
-        *[F.first(c, ignorenulls=True).over(ahead).alias(f"_a_{c}") for c in columns],
-    )
-    # the last known value one step earlier needs only the in-chunk lag of _b_
-    local = local.select(
-        "*", *[F.lag(f"_b_{c}").over(order).alias(f"_q_{c}") for c in columns]
+        *[F.first(f"_f_{c}", ignorenulls=True).over(whole).alias(f"_n_{c}") for c in columns],
     )
+    local = d.select("*", *[F.last(c, ignorenulls=True).over(back).alias(f"_b_{c}") for c in columns])
+    local = local.select("*", *[F.lag(f"_b_{c}").over(order).alias(f"_q_{c}") for c in columns])
     zero = F.lit(0.0)
-    filled = [F.coalesce(f"_b_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}", zero).alias(f"{c}_filled") for c in columns]
-    # with nothing known earlier, the step before was filled backwards from the same value
-    before = [F.coalesce(f"_q_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}", zero).alias(f"{c}_before") for c in columns]
+    filled = [F.coalesce(f"_b_{c}", f"_p_{c}", f"_n_{c}", zero).alias(f"{c}_filled") for c in columns]
+    before = [F.coalesce(f"_q_{c}", f"_p_{c}", f"_n_{c}", zero).alias(f"{c}_before") for c in columns]
     return local.join(carry, [*keys, "_c"]).select(*df.columns, *filled, *before)
 
 
