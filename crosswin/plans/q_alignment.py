@@ -255,8 +255,8 @@ def _circular_shift_null_long(spark, d):
 
 
 @query("abs_offsets", "P18", f"""WITH {BEST_SQL}
-SELECT run_id, best_lag, CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5 - CAST(run_id AS BIGINT) END AS abs_start_diff_seconds,
-       CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5 - CAST(run_id AS BIGINT) + best_lag END AS abs_offset_seconds FROM bst""")
+SELECT run_id, best_lag, CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5::DOUBLE - CAST(run_id AS BIGINT) END AS abs_start_diff_seconds,
+       CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5::DOUBLE - CAST(run_id AS BIGINT) + best_lag END AS abs_offset_seconds FROM bst""")
 def _abs_offsets(spark, d):
     net, rad = dense_pair(spark, d)
     curves, plan = al.search_best_lag(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH)

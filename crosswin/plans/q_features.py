@@ -105,7 +105,7 @@ def _feature_ablation(spark, d):
 
 
 @query("load_processed", "S8", f"""WITH {b.SCORES_SQL}
-SELECT run_id, window_start_s, y_bin, {sql_r4('coalesce(p_net, 0)::FLOAT')} AS p_net, {sql_r4('p_rad::FLOAT')} AS p_rad FROM scores WHERE part = 'train'""")
+SELECT run_id, window_start_s, y_bin::BIGINT AS y_bin, {sql_r4('coalesce(p_net, 0)::FLOAT')} AS p_net, {sql_r4('p_rad::FLOAT')} AS p_rad FROM scores WHERE part = 'train'""")
 def _load_processed(spark, d):
     s = b.scores(spark, d).where("part = 'train'").withColumns({"y_cat": F.col("family"), "ri_mean": F.lit(1.0)})
     loaded, feats = ft.load_processed(s.drop("doc_id", "toxic", "fold"), "network")
@@ -146,7 +146,7 @@ def sides(spark, d):
 
 
 @query("align_modalities", "J10", f"""WITH {SIDES_SQL}
-SELECT a.run_id, a.window_start_s, a.window_end_s, a.family, a.y_bin, {sql_r4('z.p_rad * 2')} AS p_a, {sql_r4('z.p_rad')} AS p_rad
+SELECT a.run_id, a.window_start_s, a.window_end_s, a.family, a.y_bin::BIGINT AS y_bin, {sql_r4('z.p_rad * 2')} AS p_a, {sql_r4('z.p_rad')} AS p_rad
 FROM a JOIN z USING (run_id, window_start_s, window_end_s)""")
 def _align_modalities(spark, d):
     return rounded(ft.align_modalities(*sides(spark, d)))
@@ -162,7 +162,7 @@ def _alignment_violations(spark, d):
 
 
 @query("join_meta", "J11", f"""WITH {SIDES_SQL}
-SELECT a.run_id, a.window_start_s, a.window_end_s, a.y_bin, z.family, {sql_r4('z.p_rad')} AS p_rad FROM a JOIN z USING (run_id, window_start_s, window_end_s)""")
+SELECT a.run_id, a.window_start_s, a.window_end_s, a.y_bin::BIGINT AS y_bin, z.family, {sql_r4('z.p_rad')} AS p_rad FROM a JOIN z USING (run_id, window_start_s, window_end_s)""")
 def _join_meta(spark, d):
     a, z = sides(spark, d)
     return rounded(ft.join_meta(a, z, ft.KEYS, ["y_bin"]))

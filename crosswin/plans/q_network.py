@@ -47,7 +47,7 @@ def _relative_time(spark, d):
 
 
 @query("is_attack", "P2", f"""WITH {b.FLOWS_SQL}
-SELECT traffic_type, k % 2 = 1 AS as_bool, k % 3 AS as_number,
+SELECT traffic_type, k % 2 = 1 AS as_bool, CAST(k % 3 AS BIGINT) AS as_number,
        attack AS text_attack, k % 2 = 1 AS bool_attack, k % 3 > 0 AS number_attack, CAST(count(*) AS BIGINT) AS n
 FROM flows GROUP BY ALL""")
 def _is_attack(spark, d):

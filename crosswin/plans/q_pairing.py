@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crosswin.functions.expr import canon_stem
 from crosswin.operators import pairing
 from crosswin.plans import bindings as b
-from crosswin.plans.registry import query
+from crosswin.plans.registry import query, rounded
 from crosswin.sources import readers
 
 ENDINGS = {"network": ("pcap", "pcapng"), "radio": ("txt",)}
@@ -61,7 +61,7 @@ SELECT family, canon_stem, status, n_pcaps, n_txts, coalesce(pcap_paths, '') AS
        CASE WHEN n_pcaps > 1 THEN 'multiple_pcaps=' || n_pcaps || ';' ELSE '' END || CASE WHEN n_txts > 1 THEN 'multiple_txts=' || n_txts || ';' ELSE '' END AS note
 FROM grps""")
 def _pair_groups(spark, d):
-    return pairing.collapsed_export(pairing.pair_groups(keyed(spark, d)))
+    return rounded(pairing.collapsed_export(pairing.pair_groups(keyed(spark, d))))
 
 
 @query("pair_status", "P9", f"WITH {KEY_SQL} SELECT family, canon_stem, n_pcaps, n_txts, status FROM grps")
@@ -71,14 +71,14 @@ def _pair_status(spark, d):
 
 @query("tcp_alias", "J2", f"WITH {KEY_SQL} SELECT family, layer, path, k AS canon_stem, aliased FROM keyed")
 def _tcp_alias(spark, d):
-    return keyed(spark, d)
+    return rounded(keyed(spark, d))
 
 
 @query("tcp_alias_always", "J2", f"""WITH {b.PATHS_SQL}
-SELECT family, layer, path, k AS canon_stem, 0 AS aliased FROM stems
+SELECT family, layer, path, k AS canon_stem, 0::BIGINT AS aliased FROM stems
 UNION ALL SELECT family, layer, path, substr(k, 5), 1 FROM stems WHERE layer = 'radio' AND k LIKE 'tcp\\_%' ESCAPE '\\'""")
 def _tcp_alias_always(spark, d):
-    return keyed(spark, d, "always")
+    return rounded(keyed(spark, d, "always"))
 
 
 @query("expand_pairs", "J3", f"""WITH {KEY_SQL},

@@ -39,7 +39,7 @@ def _seed_mean_std(spark, d):
     return rounded(rp.seed_mean_std(rows(spark, d), ["roc_auc", "log_loss"]))
 
 
-@query("leaderboard", "A29", f"WITH {M} SELECT model, {sql_r4('avg(roc_auc)')} AS roc_auc FROM test_rows GROUP BY 1")
+@query("leaderboard", "A29 T6", f"WITH {M} SELECT model, {sql_r4('avg(roc_auc)')} AS roc_auc FROM test_rows GROUP BY 1")
 def _leaderboard(spark, d):
     return rounded(rp.leaderboard(rows(spark, d), "roc_auc"))
 
