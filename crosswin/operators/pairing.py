@@ -135,6 +135,19 @@ def pair_summary(keyed: DataFrame) -> DataFrame:
     return files.join(groups, "family")
 
 
+def paired_manifest(keyed: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Manifest of the paired groups straight from the files: a paired group has one file per
+    side, so the smallest path of each side is that file and no list is built."""
+    df = keyed if not families else keyed.where(F.col("family").isin(*[f.strip() for f in families if f.strip()]))
+    pairs = pair_counts(df).where("status = 'paired'").select(*GROUP)
+
+    def only(layer: str):
+        return F.min(F.when(F.col("layer") == layer, F.col("path")))
+
+    files = df.groupBy(*GROUP).agg(only("network").alias("pcap_path"), only("radio").alias("txt_path"))
+    return files.join(pairs, GROUP, "left_semi")
+
+
 def extract_paired(collapsed: DataFrame, families: list[str] | None = None) -> DataFrame:
     """Paired groups as a manifest; works on list columns and on ``|``-joined text."""
     df = collapsed.where("status = 'paired'")

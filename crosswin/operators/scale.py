@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 1_000_000
 SALTS = 32
+_PRIVATE: dict[str, str] = {}  # application id to the folder of a local session without a shared one
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _PRIVATE.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _PRIVATE[app] = folder
     return os.path.join(folder, f"crosswin-{spark.sparkContext.applicationId}")
 
 

@@ -115,10 +115,10 @@ def _extract_paired(spark, d):
 m AS (SELECT *, row_number() OVER (PARTITION BY canon_stem ORDER BY length(family), family) AS rn FROM grps WHERE status = 'paired')
 SELECT canon_stem AS run_id, family, pcap_paths AS pcap_path, txt_paths AS txt_path FROM m WHERE rn = 1""")
 def _manifest_first_row(spark, d):
-    rows = pairing.extract_paired(pairing.pair_groups(keyed(spark, d)))
+    rows = pairing.paired_manifest(keyed(spark, d))
     return readers.manifest(rows.withColumn("ord", F.struct(F.length("family").alias("n"), F.col("family").alias("f"))))
 
 
 @query("family_counts", "A16", f"WITH {KEY_SQL} SELECT family, count(*) AS n FROM grps WHERE status = 'paired' GROUP BY 1")
 def _family_counts(spark, d):
-    return pairing.family_counts(pairing.extract_paired(pairing.pair_groups(keyed(spark, d))))
+    return pairing.family_counts(pairing.paired_manifest(keyed(spark, d)))

@@ -83,7 +83,7 @@ def test_tcp_alias(spark):
     assert {r["aliased"] for r in pairing.alias_keys(stems, "off").collect()} == {0}
 
 
-def reference_allocation(n, vf, tf):
+def expected_allocation(n, vf, tf):
     if n < 4:
         return max(1, n - 2), int(n >= 2), int(n >= 3)
     t, v = max(1, round(n * tf)), max(1, round(n * vf))
@@ -97,7 +97,7 @@ def test_family_allocation(spark):
     for vf, tf in ((0.15, 0.15), (0.6, 0.45), (0.45, 0.6), (0.9, 0.05), (0.5, 0.5)):
         a, b, c = sp.family_allocation(F.col("n"), vf, tf)
         for r in df.select("n", a.alias("a"), b.alias("b"), c.alias("c")).collect():
-            assert (r["a"], r["b"], r["c"]) == reference_allocation(r["n"], vf, tf)
+            assert (r["a"], r["b"], r["c"]) == expected_allocation(r["n"], vf, tf)
 
 
 def test_time_ordered_split_is_optimal(spark):

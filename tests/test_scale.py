@@ -79,3 +79,19 @@ def test_moving_average_equals_convolution(spark):
     for w in (1, 2, 3, 4, 7):
         got = [r["v"] for r in series.moving_average(df, ["k"], "t", ["v"], w, size=8).orderBy("t").collect()]
         np.testing.assert_allclose(got, np.convolve(x, np.ones(w) / w, mode="same") if w > 1 else x)
+
+
+def test_shared_folder_prefers_the_session_setting(spark):
+    class Session:
+        def __init__(self, folder, master):
+            self.conf = type("C", (), {"get": staticmethod(lambda k, d=None: folder if k == "spark.checkpoint.dir" else d)})
+            self.sparkContext = type("S", (), {"master": master, "applicationId": "app-test"})
+
+    assert scale.shared_folder(Session("/shared/x", "yarn")).startswith("/shared/x/")
+    local = scale.shared_folder(Session(None, "local[2]"))
+    assert local == scale.shared_folder(Session(None, "local[2]"))
+    try:
+        scale.shared_folder(Session(None, "yarn"))
+        raise AssertionError("a cluster without a shared folder must fail")
+    except ValueError:
+        pass
