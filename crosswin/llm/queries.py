@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import jaccard_join, line_dedup
+from crosswin.llm import jaccard_join, line_dedup, piece_codec, trusted_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+PIECES = "piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -46,3 +50,17 @@ def op6(spark, sf_dir):
     """Lines found in ten documents or more leave every document."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_piece_round_trip")
+def op9(spark, sf_dir):
+    """Ids of every document and the text they decode to, as digests."""
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query("op10_trusted_rules")
+def op10(spark, sf_dir):
+    """Base rules, then the log ratio of the documents labelled good to the whole corpus."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    out = trusted_rules.judge_quality(table(spark, sf_dir, "documents"), trusted)
+    return out.select("doc_id", *trusted_rules.FEATURES, "base_failed", "kept")
