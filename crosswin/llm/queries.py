@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import jaccard_join, line_dedup, piece_codec, trusted_rules
+from crosswin.llm import jaccard_join, line_dedup, piece_codec, pu_toxicity, trusted_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op6(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op8_pu_toxicity")
+def op8(spark, sf_dir):
+    """Toxicity of every document, learnt from confirmed toxic ones and unlabelled text."""
+    return pu_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_piece_round_trip")
 def op9(spark, sf_dir):
     """Ids of every document and the text they decode to, as digests."""
