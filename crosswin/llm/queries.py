@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import jaccard_join, line_dedup, piece_codec, pu_toxicity, trusted_rules
+from crosswin.llm import jaccard_join, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@query("op1_template_leaks")
+def op1(spark, sf_dir):
+    """Documents that hold a benchmark item, verbatim or with other numbers, names and units."""
+    return template_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_ngram_jaccard_join")
 def op2(spark, sf_dir):
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
