@@ -8,12 +8,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import jaccard_join, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules
+from crosswin.llm import digest_filter, feistel_pii, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def sql_unescaped(text: str) -> str:
+    for entity, char in warc_derive.ENTITIES.items():
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{entity}', '{quoted}')"
+    return text
+
+
+def sql_uuid(digest: str) -> str:
+    return f"'<urn:uuid:' || {digest}[1:8] || '-' || {digest}[9:12] || '-' || {digest}[13:16] || '-' || {digest}[17:20] || '-' || {digest}[21:32] || '>'"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -24,6 +35,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+RULES = [  # fixed values
+    digest_filter.Rule(True, "org", "/"), digest_filter.Rule(False, "example.org", "/es/"), digest_filter.Rule(False, "example.org", "/en/1"),
+    digest_filter.Rule(True, "com", "/fr/"), digest_filter.Rule(False, "com", "/de/"),
+]
 PIECES = "piece_bpe_32k.model"
 
 
@@ -43,6 +58,64 @@ def op2(spark, sf_dir):
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+@query("op3_warc_derive", rf"""
+WITH s AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
+    sha256('page ' || coalesce(page_id::VARCHAR, '')) AS uid,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM pages),
+r AS (SELECT *, {sql_uuid('uid')} AS refers_to, 'sha256:' || sha256(html) AS source_payload_digest,
+    nullif({sql_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, '') AS title,
+    regexp_extract_all(html, '(?i)<a[^a-z>][^>]*?href="([^"]*)"', 1) AS links,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{warc_derive.HIDDEN[0]}', '', 'g'), '{warc_derive.HIDDEN[1]}', '', 'g'), '{warc_derive.HIDDEN[2]}', '', 'g'), '{warc_derive.HIDDEN[3]}', '', 'g') AS seen FROM s),
+t AS (SELECT *, {sql_unescaped(f"regexp_replace(regexp_replace(seen, '(?i)</?(?:{warc_derive.LINE_TAGS})(?:[^a-z0-9>][^>]*)?>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')")} AS raw FROM r),
+b AS (SELECT *, 'metadata' AS record_type, concat_ws(nl, 'http-status-line: HTTP/1.1 200 OK', 'title: ' || regexp_replace(title, '[\r\n]+', ' ', 'g'),
+      'http-header: Content-Type: text/html; charset=utf-8', 'http-header: Content-Length: ' || strlen(html),
+      nullif(array_to_string(list_transform(links, lambda x: 'outlink: ' || {sql_unescaped('x')}), chr(13) || chr(10)), '')) || nl AS block, 'application/warc-fields' AS content_type FROM t
+  UNION ALL SELECT *, 'conversion', regexp_replace(regexp_replace(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g'), 'text/plain; charset=utf-8' FROM t),
+c AS (SELECT *, sha256(refers_to || '|' || record_type) AS own, 'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length FROM b)
+SELECT page_id, record_type, {sql_uuid('own')} AS record_id, refers_to, target_uri, warc_date, source_payload_digest, content_length, block_digest,
+  sha256('WARC/1.1' || nl || concat_ws(nl, 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || {sql_uuid('own')}, 'WARC-Refers-To: ' || refers_to,
+    'WARC-Target-URI: ' || target_uri, 'WARC-Date: ' || warc_date, 'WARC-Source-Payload-Digest: ' || source_payload_digest, 'WARC-Block-Digest: ' || block_digest,
+    'Content-Type: ' || content_type, 'Content-Length: ' || content_length) || nl || nl || block || nl || nl) AS record_sha256
+FROM c""")
+def op3(spark, sf_dir):
+    """Metadata and conversion records of all pages, with the digest of each whole WARC record."""
+    records = warc_derive.derive(warc_derive.responses_of(table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "content_length",
+        "block_digest", F.sha2(warc_derive.record_text(), 256).alias("record_sha256"))
+
+
+@query("op4_digest_filter", """
+WITH a AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(allow, h, p) AS (VALUES (true, 'org', '/'), (false, 'example.org', '/es/'), (false, 'example.org', '/en/1'), (true, 'com', '/fr/'), (false, 'com', '/de/')),
+u AS (SELECT DISTINCT host, path FROM a),
+best AS (SELECT host, path, arg_max(h || p, length(h) * 1000 + length(p) * 1001) AS rule, arg_max(allow, length(h) * 1000 + length(p) * 1001) AS allow
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+listed AS (SELECT DISTINCT host || path AS key FROM a WHERE page_id % 50 = 0 AND host || path <> '')
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN allow THEN 'allow' ELSE 'block' END
+  WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM a LEFT JOIN best USING (host, path) LEFT JOIN listed ON listed.key = a.host || a.path""")
+def op4(spark, sf_dir):
+    """Rules first; else the addresses of every 50th page are the block list, probed by all pages."""
+    pages = table(spark, sf_dir, "pages")
+    listed = digest_filter.addresses(pages.where("page_id % 50 = 0")).select(F.concat("host", "path").alias("key"))
+    return digest_filter.filter_pages(pages, listed, RULES)
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    """Licences of all documents as files in folders by source, language and number."""
+    docs = table(spark, sf_dir, "documents")
+    at = F.pmod(F.col("doc_id"), F.lit(100))
+    leaf = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.pmod(F.col("doc_id"), F.lit(8))))
+    place = F.when(at == 0, F.coalesce("source", F.lit(""))).when(at == 25, F.concat_ws("/", "source", "lang")).otherwise(leaf)
+    name = F.when(at % 25 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat(F.lit("file"), F.col("doc_id"), F.lit(".txt")))
+    out = license_scan.scan_licenses(docs.select(F.concat_ws("/", place, name).alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"(?:file|LICENSE\.)(-?[0-9]+)(?:\.txt)?$", 1).cast("bigint").alias("doc_id")
+    return out.select(doc_id, "path", "own_license", F.round("cosine", 6).alias("cosine"), "license", "license_dir")
+
+
 @query("op6_line_dedup", """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -58,6 +131,12 @@ def op6(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_feistel_pii")
+def op7(spark, sf_dir):
+    """Everything private in all documents and what stands in its place."""
+    return feistel_pii.findings(table(spark, sf_dir, "documents"), b"a key of the test tables")
+
+
 @query("op8_pu_toxicity")
 def op8(spark, sf_dir):
     """Toxicity of every document, learnt from confirmed toxic ones and unlabelled text."""
