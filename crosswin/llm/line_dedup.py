@@ -15,10 +15,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from crosswin.llm.tables import Scratch, look_up, tasks, text_rows
 from crosswin.llm.text import BLANKS, chunks, column_of
@@ -132,6 +134,20 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return kept
 
 
+@F.pandas_udf(StringType())
+def kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
+    """The lines of each text that its bitmap keeps; a null bitmap gives null."""
+    out = []
+    for t, packed in zip(text, keep):
+        if packed is None:
+            out.append(None)
+            continue
+        lines = (t or "").split("\n")
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=len(lines))
+        out.append("\n".join(lines[i] for i in np.flatnonzero(bits)))
+    return pd.Series(out, dtype=object)
+
+
 def keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         out, n_lines, n_dropped = [], [], []
