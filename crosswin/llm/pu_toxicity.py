@@ -30,6 +30,7 @@ PIECE = 4
 STEM = 5
 STEM_LEVELS = (1, 2, 3, 5, 8)  # at least so many distinct words with one stem
 SELECTED = 512
+LEAST_Z = 4.0  # standard errors by which positives must hold a selected bucket more often
 MAX_POSITIVE = 5_000
 MAX_UNLABELLED = 20_000
 FOLDS = 5
@@ -165,6 +166,7 @@ def decision_bound(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> float:
     Risk: prior * missed positives + max(0, flagged unlabelled share - prior * found positives).
     """
     bounds = np.unique(np.concatenate([g_p, g_u]))[::-1]
+    bounds = np.concatenate([[bounds[0] + 1], bounds])  # or flag nothing
     found = 1 - np.searchsorted(np.sort(g_p), bounds) / len(g_p)
     flagged = 1 - np.searchsorted(np.sort(g_u), bounds) / len(g_u)
     risk = prior * (1 - found) + np.maximum(0, flagged - prior * found)
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Classifier:
         return nothing
     share, base = (F.col("p") / F.lit(sizes.p)), (F.col("u") + 1) / F.lit(sizes.u + 2)
     z = (share - base) / F.sqrt(base * (1 - base) / F.lit(sizes.p))
-    best = counts.orderBy(z.desc(), "bucket").limit(SELECTED).select("bucket").collect()
+    best = counts.where(z >= LEAST_Z).orderBy(z.desc(), "bucket").limit(SELECTED).select("bucket").collect()
     buckets = np.array([r.bucket for r in best], np.int64)
     wanted = Classifier(buckets, np.empty(0), 0.0).wanted()
 
