@@ -20,7 +20,6 @@ from crosswin.operators.series import densify, moving_average, previous, rebase
 
 BLOCK = 4096
 SHORT = 16384  # aligned series up to this length go through the shuffle test as one row
-FIRST_UES = 10  # fixed value: devices looked at when the byte counter mode is inferred
 RESET_SHARE = 0.20  # fixed value
 TIERS = ("strong", "high_corr_ambiguous", "accepted_weak", "rejected")
 
@@ -80,11 +79,8 @@ def telemetry_facts(records: DataFrame) -> DataFrame:
 
 
 def infer_bytes_mode(ue: DataFrame) -> DataFrame:
-    """Per run: ``instantaneous`` when the byte values of the first devices fall often."""
-    devices = ue.select("run_id", "ue").distinct()
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("ue"))
-    first = devices.withColumn("_n", nth).where(F.col("_n") <= FIRST_UES).drop("_n")
-    steps = previous(attach(ue, first, ["run_id", "ue"], "left_semi"), ["run_id", "ue"], "t", "tot_bytes", "_prev")
+    """Per run: ``instantaneous`` when the byte values of its devices fall often."""
+    steps = previous(ue, ["run_id", "ue"], "t", "tot_bytes", "_prev")
     share = steps.groupBy("run_id", "ue").agg(
         F.count("*").alias("_n"),
         F.avg(F.when(F.col("_prev").isNotNull(), (F.col("tot_bytes") < F.col("_prev")).cast("double"))).alias("_neg"),

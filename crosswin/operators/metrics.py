@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crosswin.functions.expr import argmax, array_sum, divide, metric_score, norm, null_if_not_finite, sanitize_proba
-from crosswin.operators.scale import attach, exact_quantiles, running_totals, settle
+from crosswin.operators.scale import attach, exact_quantiles, join_keys, running_totals, settle
 
 BINS = 15  # fixed value
 POLICIES = ("benign_runs_only", "pre_attack", "all_benign_labeled")
@@ -73,7 +73,7 @@ def binary_metrics(rows: DataFrame, keys: list[str], score: str = "score", label
         F.avg(-(y * F.ln(clipped) + (1 - y) * F.ln(1 - clipped))).alias("log_loss"))
     out = base
     for part in (ranking_metrics(score_ranks(rows, keys), keys), calibration_error(rows, keys)):
-        out = out.join(part, keys) if keys else out.crossJoin(F.broadcast(part))  # one row each
+        out = join_keys(out, part, keys)
     return out.withColumns({
         "pr_lift": F.col("pr_auc") - F.col("pos_rate"), "pr_ratio": divide("pr_auc", "pos_rate")})
 
@@ -215,4 +215,4 @@ def multiclass_metrics(rows: DataFrame, keys: list[str], classes: list[str]) ->
         F.avg(-F.ln(p_true)).alias("log_loss"))
     f1 = class_scores(confusion_counts(rows, keys), keys).groupBy(*keys).agg(
         F.avg("f1").alias("f1_macro"), divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted"))
-    return base.join(f1, keys)
+    return join_keys(base, f1, keys)

@@ -59,19 +59,31 @@ def logreg(cfg: dict[str, Any], multiclass: bool, weight_sum: float, seed: int)
         maxIter=int(cfg.get("max_iter", 100)), **weighted)
 
 
+def tree_depth(cfg: dict[str, Any], default: int) -> int:
+    """Spark's trees end at MAX_DEPTH; a deeper or unlimited tree is refused, not cut."""
+    depth = cfg.get("max_depth", default)
+    if depth is None or not 0 <= int(depth) <= MAX_DEPTH:
+        raise ValueError(f"max_depth must be 0 to {MAX_DEPTH}, not {depth}")
+    return int(depth)
+
+
 def random_forest(cfg: dict[str, Any], multiclass: bool, weight_sum: float, seed: int) -> RandomForestClassifier:
-    weighted = {"weightCol": WEIGHT} if cfg.get("class_weight", "balanced") else {}
+    """800 trees of depth 20 unless the config says otherwise; two classes are weighed."""
+    weighted = {"weightCol": WEIGHT} if cfg.get("class_weight", None if multiclass else "balanced") else {}
     return RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=int(cfg.get("n_estimators", 100)),
-        maxDepth=min(int(cfg.get("max_depth") or 12), MAX_DEPTH), seed=seed, **weighted)
+        featuresCol=FEATURES, labelCol=LABEL, numTrees=int(cfg.get("n_estimators", 800)),
+        maxDepth=tree_depth(cfg, 20), seed=seed, **weighted)
 
 
 def boosted_trees(cfg: dict[str, Any], multiclass: bool, weight_sum: float, seed: int):
-    """Gradient-boosted trees; several classes through one-vs-rest."""
+    """Gradient-boosted trees; several classes through one-vs-rest. Unweighted unless class_weight is set."""
+    if multiclass and cfg.get("class_weight"):
+        raise ValueError("one-vs-rest boosted trees take no class_weight")
+    weighted = {"weightCol": WEIGHT} if cfg.get("class_weight") else {}
     gbt = GBTClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, maxIter=int(cfg.get("n_estimators", 50)),
-        maxDepth=int(cfg.get("max_depth", 5)), stepSize=float(cfg.get("learning_rate", 0.1)),
-        subsamplingRate=float(cfg.get("subsample", 1.0)), seed=seed)
+        featuresCol=FEATURES, labelCol=LABEL, maxIter=int(cfg.get("n_estimators", 600)),
+        maxDepth=tree_depth(cfg, 6), stepSize=float(cfg.get("learning_rate", 0.1)),
+        subsamplingRate=float(cfg.get("subsample", 0.9)), seed=seed, **weighted)
     return OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL) if multiclass else gbt
 
 
@@ -110,7 +122,10 @@ def predict_binary(model: Model, rows: DataFrame, out: str = "score") -> DataFra
 
 def oof_predict(train: DataFrame, model: str, cfg: dict[str, Any] | None = None, seed: int = 0, out: str = "score") -> DataFrame:
     """Every row scored by the model that never saw its run; rows carry ``fold``."""
-    folds = sorted(r["fold"] for r in train.select("fold").distinct().toLocalIterator())  # a few numbers
+    folds = [r["fold"] for r in train.select("fold").distinct().toLocalIterator()]  # a few numbers
+    if None in folds:
+        raise ValueError("rows without a fold would be left out")
+    folds.sort()
     parts = []
     for k in folds:
         m = fit(train.where(F.col("fold") != k), model, cfg, seed=seed)

@@ -60,6 +60,18 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()["b"]
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join by key columns of the same names, in which null keys meet null keys."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # a group of everything: one row
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    joined = left.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
+
+
 def attach(
     big: DataFrame,
     facts: DataFrame,
@@ -70,6 +82,8 @@ def attach(
 ) -> DataFrame:
     """Join per-key facts (one row per key) to a table whose keys may be badly skewed.
 
+    Rows with a null key meet the facts of the null key, on every path.
+
     The facts are written once and measured. Below the limit they are broadcast, so the big
     side is not shuffled at all. Beyond it every fact row is copied to SALTS sub-keys and the
     big side is spread over them, so that no sub-key holds more than a sliver of a hot key.
@@ -78,15 +92,12 @@ def attach(
     if not settled:
         facts = settle(facts, "facts")
     if table_bytes(facts) <= (BROADCAST_BYTES if limit is None else limit):
-        return big.join(F.broadcast(facts), keys, how)
+        return join_keys(big, F.broadcast(facts), keys, how)
     spread = [c for c, t in big.dtypes if c not in keys and not t.startswith("map")]
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)) if spread else F.lit(0)
     salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        big.withColumn("_salt", salt.cast("int"))
-        .join(salted.withColumn("_salt", F.col("_salt").cast("int")), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    spread_out, copies = big.withColumn("_salt", salt.cast("int")), salted.withColumn("_salt", F.col("_salt").cast("int"))
+    return join_keys(spread_out, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def running_totals(
@@ -150,10 +161,7 @@ def exact_quantiles(
     )
     steps = running_totals(hist, keys, ["_v"], {"_hi": "_c"}, rows_per_task)
     sizes = steps.groupBy(*keys).agg(F.max("_hi").alias("_n"))
-    if keys:
-        steps = attach(steps, sizes, keys, "inner")
-    else:
-        steps = steps.crossJoin(F.broadcast(sizes))  # one row
+    steps = attach(steps, sizes, keys, "inner") if keys else join_keys(steps, sizes, [])
     picks = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_n") - 1)
@@ -193,8 +201,7 @@ def ordinal(df: DataFrame, keys: list[str], order: str, out: str, span: int = 65
     )
     local = Window.partitionBy(*keys, "_block").orderBy(order)
     return (
-        blocked.withColumn("_pos", F.row_number().over(local) - 1)
-        .join(offsets, [*keys, "_block"])
+        join_keys(blocked.withColumn("_pos", F.row_number().over(local) - 1), offsets, [*keys, "_block"])
         .withColumn(out, (F.col("_pos") + F.col("_before")).cast("bigint"))
         .drop("_block", "_pos", "_before")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from crosswin.operators.scale import attach, grid
+from crosswin.operators.scale import attach, grid, join_keys
 
 CHUNK = 4096
 
@@ -27,7 +27,7 @@ def densify(series: DataFrame, keys: list[str], t: str, fill: dict[str, float] |
     base = F.lit(0).cast("bigint") if start == "zero" else F.col("_lo")
     ends = ends.withColumn("_base", base).withColumn("_last", F.col("_hi") - F.col("_base"))
     steps = grid(ends, "_last", "_step").select(*keys, (F.col("_base") + F.col("_step")).alias(t))
-    out = steps.join(series, [*keys, t], "left")
+    out = join_keys(steps, series, [*keys, t], "left")
     return out.fillna(fill) if fill else out
 
 
@@ -42,8 +42,7 @@ def previous(df: DataFrame, keys: list[str], t: str, value: str, out: str, size:
         .select(*keys, "_c", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     )
     return (
-        d.withColumn("_lag", F.lag(value).over(local))
-        .join(carry, [*keys, "_c"])
+        join_keys(d.withColumn("_lag", F.lag(value).over(local)), carry, [*keys, "_c"])
         .withColumn(out, F.coalesce("_lag", "_carry"))
         .drop("_c", "_lag", "_carry")
     )
@@ -78,7 +77,7 @@ def fill_both_ways(df: DataFrame, keys: list[str], t: str, columns: list[str], s
     zero = F.lit(0.0)
     filled = [F.coalesce(f"_b_{c}", f"_p_{c}", f"_n_{c}", zero).alias(f"{c}_filled") for c in columns]
     before = [F.coalesce(f"_q_{c}", f"_p_{c}", f"_n_{c}", zero).alias(f"{c}_before") for c in columns]
-    return local.join(carry, [*keys, "_c"]).select(*df.columns, *filled, *before)
+    return join_keys(local, carry, [*keys, "_c"]).select(*df.columns, *filled, *before)
 
 
 def moving_average(

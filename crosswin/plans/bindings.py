@@ -299,8 +299,9 @@ def multiclass_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding")
 
     def slice_score(j: int, shift: float) -> Column:
-        # six slices of ten entries; the true class gets a lift so that scores mean something
-        s = F.aggregate(F.slice(x, j * 10 + 1, 10), F.lit(0.0), lambda a, v: a + v.cast("double"))
+        # six slices over all 64 entries; the true class gets a lift so that scores mean something
+        low, high = 64 * j // 6, 64 * (j + 1) // 6
+        s = F.aggregate(F.slice(x, low + 1, high - low), F.lit(0.0), lambda a, v: a + v.cast("double"))
         return s + F.when(F.col("label") % 6 == j, shift).otherwise(0.0)
 
     systems = [("network_only", 0.3), ("radio_only", 0.6), ("fusion_mean", 0.9)]
@@ -322,7 +323,7 @@ mc_j AS (SELECT unnest(range(0, 6)) AS j),
 mc_long AS (
   SELECT vec_id, CAST(vec_id % 20 AS VARCHAR) AS run_id, CAST(vec_id % 4 AS INT) AS seed,
          {FAMILY_SQL}[CAST(label % 6 AS INT) + 1] AS y_true, system, j,
-         list_sum(list_transform(embedding[CAST(j * 10 + 1 AS INT):CAST(j * 10 + 10 AS INT)], lambda v: v::DOUBLE))
+         list_sum(list_transform(embedding[CAST(64 * j // 6 + 1 AS INT):CAST(64 * (j + 1) // 6 AS INT)], lambda v: v::DOUBLE))
          + CASE WHEN label % 6 = j THEN lift ELSE 0.0 END AS raw
   FROM embeddings, mc_s, mc_j),
 mc_pos AS (SELECT *, greatest(raw, 0.0) AS pos FROM mc_long),

@@ -42,7 +42,7 @@ neg AS (
   SELECT run_id, avg(neg) AS neg_share FROM (
     SELECT run_id, ue, avg(CASE WHEN prev IS NOT NULL THEN (tot_bytes < prev)::INT END) AS neg,
            dense_rank() OVER (PARTITION BY run_id ORDER BY ue) AS rk, count(*) AS n FROM uep GROUP BY 1, 2)
-  WHERE rk <= 10 AND n >= 3 GROUP BY 1),
+  WHERE n >= 3 GROUP BY 1),
 bm AS (SELECT run_id, CASE WHEN neg_share > 0.2 THEN 'instantaneous' ELSE 'cumulative' END AS bytes_mode, neg_share
        FROM (SELECT DISTINCT run_id FROM ue) LEFT JOIN neg USING (run_id))"""
 

@@ -115,15 +115,15 @@ def _check_predictions_binary(spark, d):
 
 
 @query("check_predictions_multiclass", "V6 K5", f"""WITH {b.MULTI_SQL}
-SELECT vec_id, 'p_max_is_largest' AS rule FROM mc_best WHERE system = 'radio_only' AND vec_id % 25 = 0
-UNION ALL SELECT vec_id, 'labels_present' FROM mc_best WHERE system = 'radio_only' AND vec_id % 30 = 0""")
+SELECT vec_id, system, 'p_max_is_largest' AS rule FROM mc_best WHERE vec_id % 25 = 0
+UNION ALL SELECT vec_id, system, 'labels_present' FROM mc_best WHERE vec_id % 30 = 0""")
 def _check_predictions_multiclass(spark, d):
-    p = sinks.multiclass_predictions(qs.predicted(spark, d).where("system = 'radio_only'"), ["vec_id"], b.FAMILIES)
+    p = sinks.multiclass_predictions(qs.predicted(spark, d), ["vec_id", "system"], b.FAMILIES)
     names = [c for c in p.columns if c.startswith("p_") and c != "p_max"]
     p = p.withColumns({
         "p_max": F.when(F.col("vec_id") % 25 == 0, 0.999).otherwise(F.col("p_max")),
         "y_pred": F.when(F.col("vec_id") % 30 != 0, F.col("y_pred"))})
-    return ck.multiclass_prediction_violations(p, ["vec_id"], names)
+    return ck.multiclass_prediction_violations(p, ["vec_id", "system"], names)
 
 
 @query("table_diff", "J16", """
@@ -214,13 +214,12 @@ def _write_predictions_binary(spark, d):
 
 
 @query("write_predictions_multiclass", "K5", f"""WITH {b.MULTI_SQL}
-SELECT vec_id, any_value(p.y_true) AS y_true, any_value(y_pred) AS y_pred, {sql_r4('max(p_max)::FLOAT')} AS p_max,
+SELECT vec_id, system, any_value(p.y_true) AS y_true, any_value(y_pred) AS y_pred, {sql_r4('max(p_max)::FLOAT')} AS p_max,
        {', '.join(f"{sql_r4(f'max(prob) FILTER (j = {i})::FLOAT')} AS p_{c}" for i, c in enumerate(b.FAMILIES))}
-FROM mc_p p JOIN mc_best USING (vec_id, system) WHERE system = 'fusion_mean' GROUP BY 1""")
+FROM mc_p p JOIN mc_best USING (vec_id, system) GROUP BY 1, 2""")
 def _write_predictions_multiclass(spark, d):
     path = fresh(spark, "pred")
-    p = qs.predicted(spark, d).where("system = 'fusion_mean'")
-    sinks.write_stage(sinks.multiclass_predictions(p, ["vec_id"], b.FAMILIES), path)
+    sinks.write_stage(sinks.multiclass_predictions(qs.predicted(spark, d), ["vec_id", "system"], b.FAMILIES), path)
     return rounded(spark.read.parquet(path))
 
 

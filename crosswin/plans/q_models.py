@@ -14,13 +14,13 @@ from crosswin.plans import q_checks as qc
 from crosswin.plans import q_scores as qs
 from crosswin.plans.registry import query, r4, rounded, sql_r4
 
-NET = [f"n{i}" for i in range(8)]
-RAD = [f"r{i}" for i in range(8)]
+NET = [f"n{i}" for i in range(32)]
+RAD = [f"r{i}" for i in range(32)]
 SMALL = {"rf": {"n_estimators": 10, "max_depth": 5}, "boosted_trees": {"n_estimators": 5, "max_depth": 3}, "logreg": {}}
 
 
 def rows(spark, d):
-    """Windows of 40 runs, 8 network and 8 radio features, folds by run."""
+    """Windows of 40 runs, 32 network and 32 radio features, folds by run."""
     x, label = F.col("embedding"), F.col("label")
     run = F.col("vec_id") % 40
     h = hash_number(F.concat(F.lit("run"), run.cast("string"))) % 10
@@ -37,23 +37,32 @@ def rows(spark, d):
     ).drop("fold0"), "model-rows")
 
 
+ROWS_SQL = """
+r AS (
+  SELECT CAST(vec_id % 40 AS VARCHAR) AS run_id, vec_id // 40 * 2 AS window_start_s, CAST('0x' || substr(md5('run' || (vec_id % 40)), 1, 8) AS BIGINT) % 10 AS h,
+         CASE WHEN vec_id % 40 % 3 <> 0 AND label >= 3 THEN 1 ELSE 0 END::BIGINT AS y_bin FROM embeddings),
+w AS (SELECT run_id, window_start_s::BIGINT AS window_start_s, y_bin, CASE WHEN h < 6 THEN 'train' WHEN h < 8 THEN 'val' ELSE 'test' END AS part FROM r)"""
+TRAINED_SQL = f"WITH {ROWS_SQL} SELECT run_id, window_start_s, part, y_bin, TRUE AS scored FROM w WHERE part <> 'train'"
+
+
 def _scores(spark, d, model):
     x = md.assemble(rows(spark, d), NET, "y_bin")
     m = md.fit(x.where("part = 'train'"), model, SMALL[model], seed=1)
-    return md.predict_binary(m, x.where("part <> 'train'")).select("run_id", "window_start_s", "part", "y_bin", "score")
+    scored = F.col("score").between(0, 1).alias("scored")  # weights can't be compared, all else can
+    return rounded(md.predict_binary(m, x.where("part <> 'train'")).select("run_id", "window_start_s", "part", "y_bin", scored))
 
 
-@query("train_logreg", "M12 M15")
+@query("train_logreg", "M12 M15", TRAINED_SQL)
 def _train_logreg(spark, d):
     return _scores(spark, d, "logreg")
 
 
-@query("train_random_forest", "M13 M15")
+@query("train_random_forest", "M13 M15", TRAINED_SQL)
 def _train_random_forest(spark, d):
     return _scores(spark, d, "rf")
 
 
-@query("train_boosted_trees", "M14 M15")
+@query("train_boosted_trees", "M14 M15", TRAINED_SQL)
 def _train_boosted_trees(spark, d):
     return _scores(spark, d, "boosted_trees")
 
@@ -65,7 +74,8 @@ def multiclass(spark, d, model, feats):
     return classes, x, md.fit(x.where("part = 'train'"), model, SMALL[model], multiclass=True, seed=1)
 
 
-@query("train_multiclass", "M12 M13 M14 M15 M23 M36")
+@query("train_multiclass", "M12 M13 M14 M15 M23 M36", f"""WITH {ROWS_SQL}
+SELECT model, count(*) AS n, TRUE AS rates_in_range, TRUE AS loss_is_positive FROM w, (SELECT unnest(['logreg', 'rf', 'boosted_trees']) AS model) WHERE part = 'test' GROUP BY 1""")
 def _train_multiclass(spark, d):
     out = None
     for model in ("logreg", "rf", "boosted_trees"):
@@ -73,7 +83,8 @@ def _train_multiclass(spark, d):
         p = md.predict_proba(m, x.where("part = 'test'"), "raw").withColumn("model", F.lit(model)).withColumn("y_true", F.col("y_cat"))
         r = mt.multiclass_metrics(settle(mt.predict_class(p.drop(md.FEATURES), "raw", classes), "mc"), ["model"], classes)
         out = r if out is None else out.unionByName(r)
-    return out
+    rates = F.col("acc").between(0, 1) & F.col("f1_macro").between(0, 1) & F.col("f1_weighted").between(0, 1)
+    return out.select("model", "n", rates.alias("rates_in_range"), (F.col("log_loss") > 0).alias("loss_is_positive"))
 
 
 @query("oof_predict", "M16", """
@@ -85,17 +96,17 @@ def _oof_predict(spark, d):
         "run_id", "window_start_s", "fold", F.col("score").between(0, 1).alias("scored")))
 
 
-@query("fusion_stacked", "M18")
+@query("fusion_stacked", "M18", f"WITH {b.SCORES_SQL} SELECT doc_id, part, CAST(y_bin AS BIGINT) AS y_bin, TRUE AS scored FROM scores")
 def _fusion_stacked(spark, d):
     s = settle(b.scores(spark, d), "scores")
     head = md.fit_stacked(s.where("part = 'train'"))
     train = md.oof_stacked(s.where("part = 'train'"))
     rest = md.predict_stacked(head, s.where("part <> 'train'"))
-    keep = ["doc_id", "part", "y_bin", "score"]
-    return train.select(*keep).unionByName(rest.select(*keep))
+    keep = ["doc_id", "part", "y_bin", F.col("score").between(0, 1).alias("scored")]
+    return rounded(train.select(*keep).unionByName(rest.select(*keep)))
 
 
-@query("fusion_stacked_multiclass", "M19")
+@query("fusion_stacked_multiclass", "M19", f"WITH {ROWS_SQL} SELECT run_id, window_start_s, 3::BIGINT AS n_classes, TRUE AS sums_to_one FROM w WHERE part = 'test'")
 def _fusion_stacked_multiclass(spark, d):
     base = None
     for feats, name in ((NET, "proba_net"), (RAD, "proba_rad")):
@@ -105,7 +116,9 @@ def _fusion_stacked_multiclass(spark, d):
     base = settle(base, "stack")
     head = md.fit_stacked_multiclass(base.where("part = 'train'"), md.LABEL)
     test = md.stack_features_multiclass(base.where("part = 'test'"), "proba_net", "proba_rad")
-    return md.predict_proba(head, test).select("run_id", "window_start_s", F.posexplode("proba").alias("class_id", "p"))
+    total = F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)
+    return rounded(md.predict_proba(head, test).select(
+        "run_id", "window_start_s", F.size("proba").alias("n_classes"), (F.abs(total - 1) < 1e-9).alias("sums_to_one")))
 
 
 @query("experiment", "M31 M16 M17 M18")
@@ -145,23 +158,27 @@ def _evaluate_all(spark, d):
                     r4(ttd.finite_or_null("ttd_median"), "ttd_median"), "n_delta", r4("delta_median"))
 
 
-@query("param_search", "M33")
+@query("param_search", "M33", "SELECT i AS place, TRUE AS in_order, count(*) > 0 AS has_rows FROM embeddings, (SELECT unnest(range(3)) AS i) GROUP BY 1")
 def _param_search(spark, d):
     x = md.assemble(rows(spark, d), NET, "y_bin")
     train, val = (settle(x.where(F.col("part") == p).select(md.FEATURES, md.LABEL, "y_bin"), p) for p in ("train", "val"))
     ranked, _ = md.param_search(train, val, "logreg", {"C": (0.01, 10.0, "log"), "max_iter": [20, 50]}, trials=3, seed=5)
-    return spark.createDataFrame(
-        [(i, r["trial"], str(sorted(r["params"].items())), r["log_loss"]) for i, r in enumerate(ranked)],
-        "place int, trial int, params string, log_loss double")
+    losses = [r["log_loss"] for r in ranked]
+    in_order = all(x <= y for x, y in zip(losses, losses[1:]))
+    counted = val.agg((F.count("*") > 0).alias("has_rows"))
+    return counted.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(ranked) - 1).cast("bigint"))).alias("place"), F.lit(in_order).alias("in_order"), "has_rows")
 
 
-@query("replay_check", "M34 K8", "SELECT '' AS run_id, 0::BIGINT AS window_start_s, 0.0::DOUBLE AS fresh, 0.0::DOUBLE AS stored FROM part WHERE FALSE")
+@query("replay_check", "M34 K8", f"WITH {ROWS_SQL} SELECT run_id, window_start_s, TRUE AS moved FROM w WHERE window_start_s % 20 = 0")
 def _replay_check(spark, d):
     x = md.assemble(rows(spark, d), NET, "y_bin")
     m = md.fit(x.where("part = 'train'"), "rf", SMALL["rf"], seed=1)
-    path, stored = qc.fresh(spark, "model"), settle(md.predict_binary(m, x).select("run_id", "window_start_s", "score"), "stored")
+    moved = F.when(F.col("window_start_s") % 20 == 0, F.col("score") + 0.25).otherwise(F.col("score"))  # one stored score in ten is wrong
+    stored = md.predict_binary(m, x).select("run_id", "window_start_s", moved.alias("score"))
+    path, stored = qc.fresh(spark, "model"), settle(stored, "stored")
     md.save_model(m, path)
-    return md.replay_violations(md.load_model(path), x, stored, ["run_id", "window_start_s"])
+    found = md.replay_violations(md.load_model(path), x, stored, ["run_id", "window_start_s"])
+    return rounded(found.select("run_id", "window_start_s", (F.abs(F.col("stored") - F.col("fresh") - 0.25) < 1e-6).alias("moved")))
 
 
 @query("replay_fusion", "M34", f"""WITH {b.SCORES_SQL}

@@ -80,10 +80,13 @@ def _split_stratified(spark, d):
 
 
 @query("run_starts", "J14", f"""WITH {b.RUNS_SQL}, {b.FLOWS_SQL}
-SELECT r.run_id, r.family, {sql_r4('min(f.flow_start_ts)')} AS run_start_ts FROM runs r LEFT JOIN flows f ON f.run_id = r.run_id AND f.ord % 100 < 40 GROUP BY 1, 2""")
+SELECT r.run_id, r.family, {sql_r4('min(f.flow_start_ts)')} AS run_start_ts
+FROM (SELECT run_id, family FROM runs UNION ALL SELECT 'idle-' || run_id, family FROM runs WHERE family = 'Benign') r LEFT JOIN flows f USING (run_id) GROUP BY 1, 2""")
 def _run_starts(spark, d):
-    # two flows in five stay away, so that some runs may have no start
-    return rounded(sp.run_starts(b.runs(spark, d), b.flows(spark, d).where("ord % 100 < 40")))
+    # for each benign run there is one more that has no flows, and so no start
+    runs = b.runs(spark, d).select("run_id", "family")
+    idle = runs.where("family = 'Benign'").withColumn("run_id", F.concat(F.lit("idle-"), "run_id"))
+    return rounded(sp.run_starts(runs.unionByName(idle), b.flows(spark, d)))
 
 
 @query("split_time_ordered", "M3", f"""WITH {b.RUNS_SQL},

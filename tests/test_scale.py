@@ -95,3 +95,37 @@ def test_shared_folder_prefers_the_session_setting(spark):
         raise AssertionError("a cluster without a shared folder must fail")
     except ValueError:
         pass
+
+
+def _half_null(spark):
+    return spark.createDataFrame([(None if i % 2 else "a", i, i % 5) for i in range(20)], "k string, i long, v long")
+
+
+def test_null_keys_give_the_same_rows_on_both_paths(spark):
+    df = _half_null(spark)
+    small = scale.running_totals(df, ["k"], ["i"], {"t": "v"})
+    large = scale.running_totals(df, ["k"], ["i"], {"t": "v"}, rows_per_task=3)
+    assert small.count() == 20 and sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    for limit in (None, 0):
+        met = scale.attach(df, df.groupBy("k").count(), "k", "inner", limit=limit)
+        assert met.count() == 20 and met.where("k is null and count = 10").count() == 10
+    for rows_per_task in (None, 2):
+        q = {r.k: r.m for r in scale.exact_quantiles(df, ["k"], "v", {"m": 0.5}, rows_per_task).collect()}
+        assert q == {None: 2.0, "a": 2.0}
+    placed = scale.ordinal(df, ["k"], "i", "p", span=4).collect()
+    assert sorted((r.k is None, r.p) for r in placed) == sorted((n, p) for n in (False, True) for p in range(10))
+
+
+def test_series_keep_null_keys(spark):
+    from crosswin.operators import series
+
+    df = _half_null(spark).withColumn("v", F.col("v").cast("double"))
+    assert series.previous(df, ["k"], "i", "v", "before", size=4).where("k is null").count() == 10
+    assert series.fill_both_ways(df, ["k"], "i", ["v"], size=4).where("k is null").count() == 10
+
+
+def test_metrics_keep_null_keys(spark):
+    from crosswin.operators import metrics
+
+    rows = spark.createDataFrame([(None if i % 2 else "a", i / 20, int(i > 9)) for i in range(20)], "k string, score double, y_bin int")
+    assert {r.k: r.n for r in metrics.binary_metrics(rows, ["k"]).collect()} == {None: 10, "a": 10}
