@@ -45,15 +45,24 @@ def to_seconds_index(records: DataFrame, facts: DataFrame | None = None) -> Data
     return timed.unionByName(ordinal(untimed, ["run_id"], "ord", "t_rel_s"))
 
 
-def kpi_columns(records: DataFrame, min_share: float = 0.2) -> list[str]:
-    """Columns aggregated as KPIs: numbers, and text of which enough reads as numbers."""
-    names = [c for c in records.columns if c not in NOT_KPI and c != "time_mode"]
-    text = [c for c, t in records.dtypes if c in names and t == "string"]
-    share = {}
-    if text:
-        # one row with one number per column
-        share = records.agg(*[(F.count(to_double(c)) / F.count("*")).alias(c) for c in text]).first().asDict()
-    return [c for c in names if c not in text or (share[c] or 0.0) >= min_share]
+def kpi_columns_per_run(records: DataFrame, min_share: float = 0.2) -> DataFrame:
+    """(run_id, kpi, share, kept): the share of a run's records in which a column reads as a number.
+
+    A run keeps the KPIs whose column is numeric, or text with at least ``min_share`` numbers.
+    """
+    types = dict(records.dtypes)
+    names = [c for c in records.columns if c not in NOT_KPI and c not in ("time_mode", "run_id")]
+    share = F.array(*[F.struct(
+        F.lit(c).alias("kpi"), (F.count(to_double(c)) / F.count("*")).alias("share"), F.lit(types[c] != "string").alias("number")) for c in names])
+    per_run = records.groupBy("run_id").agg(share.alias("_k")).select("run_id", F.explode("_k").alias("_k")).select("run_id", "_k.*")
+    return per_run.select("run_id", "kpi", "share", (F.col("number") | (F.col("share") >= min_share)).alias("kept"))
+
+
+def only_kept_kpis(records: DataFrame, chosen: DataFrame, kpis: list[str]) -> DataFrame:
+    """Records in which a run's values of KPIs it does not keep are null."""
+    flags = chosen.groupBy("run_id").agg(*[F.max(F.when(F.col("kpi") == c, F.col("kept"))).alias(f"_keep_{c}") for c in kpis])
+    out = attach(records, flags, "run_id")
+    return out.withColumns({c: F.when(F.col(f"_keep_{c}"), F.col(c)) for c in kpis}).drop(*[f"_keep_{c}" for c in kpis])
 
 
 def aggregate_seconds(timed: DataFrame, kpis: list[str]) -> DataFrame:
@@ -69,7 +78,10 @@ def aggregate_seconds(timed: DataFrame, kpis: list[str]) -> DataFrame:
 
 def radio_seconds(records: DataFrame, kpis: list[str] | None = None) -> DataFrame:
     """Dense per-second table of every run, with filled counters, rates and resets."""
-    kpis = kpi_columns(records) if kpis is None else kpis
+    if kpis is None:  # each run's own choice; a KPI that no run keeps has no column
+        chosen = settle(kpi_columns_per_run(records), "kpis")
+        kpis = sorted(r["kpi"] for r in chosen.where("kept").select("kpi").distinct().collect())  # names of columns
+        records = only_kept_kpis(records, chosen, kpis)
     facts = settle(detect_time_mode(records), "time-mode")
     timed = to_seconds_index(records.select(
         "run_id", "ord", "ts_raw", *COUNTERS, *kpis, *[c for c in ("ue_id",) if c in records.columns]), facts)

@@ -43,14 +43,18 @@ def onset_violations(rows: DataFrame, onsets: DataFrame, benign: str = "Benign")
 
 
 def first_detections(
-    rows: DataFrame, onsets: DataFrame, thresholds: DataFrame, keys: list[str], part_keys: tuple[str, ...] = ()
+    rows: DataFrame, onsets: DataFrame, thresholds: DataFrame, keys: list[str], part_keys: tuple[str, ...] = (), benign: str = "Benign"
 ) -> DataFrame:
     """Per group, threshold and attack run: onset, first alarm at or after it, delay.
 
     ``onsets``: run_id, onset_s (null onset counts as a miss). ``keys`` link rows to
-    thresholds, ``part_keys`` split the result further. Rows of other runs are left out.
+    thresholds, ``part_keys`` split the result further. Rows with a family: every attack run
+    counts, and one that ``onsets`` lacks is a miss; without it, the runs of ``onsets`` do.
     """
-    near = attach(rows, onsets, "run_id", "inner")
+    if "family" in rows.columns:
+        near = attach(rows.where(norm("family") != benign.strip().lower()), onsets, "run_id")
+    else:
+        near = attach(rows, onsets, "run_id", "inner")
     shots = attach(near, settle(thresholds, "thresholds"), keys, "inner", settled=True)
     alarm = (F.col("window_end_s") >= F.col("onset_s")) & (F.col("score") >= F.col("threshold")) & ~F.isnan("score")
     g = shots.groupBy(*keys, *part_keys, "threshold_policy", "fpr_target", "run_id").agg(

@@ -121,14 +121,20 @@ def _fusion_stacked_multiclass(spark, d):
         "run_id", "window_start_s", F.size("proba").alias("n_classes"), (F.abs(total - 1) < 1e-9).alias("sums_to_one")))
 
 
-@query("experiment", "M31 M16 M17 M18")
+@query("experiment", "M31 M16 M17 M18", f"""WITH {ROWS_SQL}
+SELECT system, part, threshold_policy, fpr_target, count(*) AS n, sum(y_bin)::BIGINT AS positives, TRUE AS in_range
+FROM w, (SELECT unnest(['network_only', 'radio_only', 'fusion_mean', 'fusion_stacked']) AS system), (SELECT unnest({qs.POL}) AS threshold_policy), (SELECT unnest([0.01, 0.1]::DOUBLE[]) AS fpr_target)
+WHERE part <> 'train' GROUP BY 1, 2, 3, 4""")
 def _experiment(spark, d):
     r = rows(spark, d)
     preds, _ = md.score_systems(r, NET, RAD, "logreg")
     onsets = ttd.onset_map(r.groupBy("run_id").agg(
         F.min("family").alias("family"), F.lit(0).alias("ord"),
         F.coalesce(F.min(F.when(F.col("y_bin") == 1, F.col("window_start_s") + 0.5)), F.lit(0.5)).alias("t_first_attack_flow_s")))
-    return md.evaluate_all(preds, onsets, qs.POL, [0.01, 0.1])["operating"]
+    out = md.evaluate_all(preds, onsets, qs.POL, [0.01, 0.1])["operating"]
+    in_range = F.coalesce(F.col("tpr"), F.lit(0.0)).between(0, 1) & F.coalesce(F.col("fpr"), F.lit(0.0)).between(0, 1)
+    return out.select(
+        "system", "part", "threshold_policy", "fpr_target", F.expr("tn + fp + fn + tp").alias("n"), F.expr("fn + tp").alias("positives"), in_range.alias("in_range"))
 
 
 EV_SQL = qs.ONSET_SQL + """,

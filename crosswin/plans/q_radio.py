@@ -187,3 +187,16 @@ SELECT run_id, event_id AS ord, CAST(event_id % 50 IN (0, 25) AS BIGINT) AS pars
 FROM e""")
 def _telemetry_lines_lenient(spark, d):
     return rounded(readers.lenient_records(b.telemetry_lines(spark, d)))
+
+
+@query("kpi_columns_per_run", "A11", f"""WITH {b.TELEMETRY_SQL},
+x AS (SELECT run_id, cqi::VARCHAR AS cqi, CASE WHEN CAST(run_id AS BIGINT) % 3 = 0 OR ord % 10 = 0 THEN CAST(ord AS VARCHAR) ELSE 'n/a' END AS phr, sinr FROM tel),
+s AS (SELECT run_id, count(TRY_CAST(cqi AS DOUBLE))::DOUBLE / count(*) AS c, count(TRY_CAST(phr AS DOUBLE))::DOUBLE / count(*) AS p, count(sinr)::DOUBLE / count(*) AS n FROM x GROUP BY 1)
+SELECT run_id, 'cqi' AS kpi, {sql_r4('c')} AS share, c >= 0.2 AS kept FROM s
+UNION ALL SELECT run_id, 'phr', {sql_r4('p')}, p >= 0.2 FROM s
+UNION ALL SELECT run_id, 'sinr', {sql_r4('n')}, TRUE FROM s""")
+def _kpi_columns_per_run(spark, d):
+    # a text KPI that some runs carry in every record and others in one of ten
+    phr = F.when((F.col("run_id").cast("bigint") % 3 == 0) | (F.col("ord") % 10 == 0), F.col("ord").cast("string")).otherwise("n/a")
+    rows = b.telemetry(spark, d).select("run_id", F.col("cqi").cast("string").alias("cqi"), phr.alias("phr"), "sinr")
+    return rounded(radio.kpi_columns_per_run(rows))

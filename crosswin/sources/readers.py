@@ -57,16 +57,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- telemetry ---------------------------------------------------------------------------
 
-TELEMETRY_FIELDS = (  # fixed values: numeric fields of a telemetry record
-    "rnti", "cellid", "in_sync", "pmi_0", "pmi_1", "ri", "dlMcs", "dlBler", "ulMcs", "ulBler",
-    "phr", "pcmax", "rsrq", "sinr", "rsrp", "rssi", "cqi", "pucchSnr", "puschSnr",
-)
+CORE_FIELDS = ("timestamp", "ts", "ue_id", "dlBytes", "ulBytes")
+LEFT_OUT = ("pmi",)  # fixed value: never a field of a record
+MOST_FIELDS = 1000
 
 
-def telemetry_schema(kpis: tuple[str, ...] = TELEMETRY_FIELDS) -> T.StructType:
-    """Record schema; everything is read as text and coerced later. ``pmi`` is not in it."""
-    names = ["timestamp", "ts", "ue_id", "dlBytes", "ulBytes", *kpis]
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+def telemetry_fields(lines: DataFrame, text: str = "value") -> list[str]:
+    """Names of all keys that the records hold, besides the core fields; too many fail."""
+    objects = lines.where(F.trim(text).startswith("{") & F.trim(text).endswith("}"))
+    names = objects.select(F.explode(F.json_object_keys(F.trim(text))).alias("k")).distinct().limit(MOST_FIELDS + 1)
+    found = sorted(r["k"] for r in names.collect())
+    if len(found) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} different keys; name the fields to read")
+    return [k for k in found if k not in CORE_FIELDS and k not in LEFT_OUT]
+
+
+def telemetry_schema(kpis: list[str]) -> T.StructType:
+    """Record schema; everything is read as text and coerced later."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*CORE_FIELDS, *kpis)])
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
@@ -82,9 +90,13 @@ def parse_lines(lines: DataFrame, schema: T.StructType, text: str = "value") ->
     )
 
 
-def read_telemetry(spark: SparkSession, path: str, ts_keys: tuple[str, ...] = ("timestamp", "ts")) -> DataFrame:
+def read_telemetry(
+    spark: SparkSession, path: str, ts_keys: tuple[str, ...] = ("timestamp", "ts"), fields: list[str] | None = None
+) -> DataFrame:
     """Strict telemetry read: one file per run, ``run_id`` from the file name, line order kept.
 
+    All keys of all records become columns, unless ``fields`` names those wanted.
+
     Lines of a file come from one or more splits; the offset order of the splits and the row
     order inside them make the line order, so ``ord`` increases along each file.
     """
@@ -94,7 +106,8 @@ def read_telemetry(spark: SparkSession, path: str, ts_keys: tuple[str, ...] = ("
          + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))).alias("ord"),
         "value",
     )
-    return pick_timestamp(parse_lines(raw, telemetry_schema()), ts_keys)
+    names = telemetry_fields(raw) if fields is None else fields
+    return pick_timestamp(parse_lines(raw, telemetry_schema(names)), ts_keys)
 
 
 def pick_timestamp(records: DataFrame, ts_keys: tuple[str, ...] = ("timestamp", "ts")) -> DataFrame:
@@ -119,7 +132,8 @@ def pick_timestamp(records: DataFrame, ts_keys: tuple[str, ...] = ("timestamp",
 
 def lenient_records(lines: DataFrame, text: str = "value") -> DataFrame:
     """Records from decorated lines: trailing comma, byte-string wrapper, text around the
-    braces, single quotes, keys in any case and under their alternative names.
+    braces, single quotes, keys in any case and under their alternative names. Of keys that
+    differ in case only, the last one counts.
 
     Adds ``parse_error`` (1 for a line without a usable record; blank lines are left out),
     ``ue``, ``tot_bytes`` and ``ts`` (text).
@@ -129,7 +143,9 @@ def lenient_records(lines: DataFrame, text: str = "value") -> DataFrame:
     line = F.regexp_replace(line, r"""^b(['"])(.*)\1$""", "$2")
     body = F.regexp_extract(line, r"(?s)(\{.*\})", 1)
     record = F.from_json(body, "map<string,string>", {"allowSingleQuotes": "true"})
-    low = F.transform_keys(record, lambda k, v: F.lower(k))
+    pairs = F.transform(F.map_entries(record), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"]))
+    low = F.map_from_entries(last)
     keep = [c for c in lines.columns if c != text]
     out = lines.where(F.trim(text) != "").select(*keep, low.alias("_m"))
 

@@ -135,3 +135,15 @@ def test_read_telemetry_files(spark, tmp_path):
     assert [r["run_id"] for r in got] == ["run1", "run1", "run2", "run2"]
     assert [r["dlBytes"] for r in got] == ["1", "4", "1", "3"]
     assert got[0]["ts_raw"] == 1700000000000 and got[2]["ts_raw"] is None and "pmi" not in got[0].asDict()
+
+
+def test_read_telemetry_keeps_all_keys(spark, tmp_path):
+    (tmp_path / "r1.txt").write_text('{"ts": 1, "dlBytes": 2, "ulBytes": 3, "newKpi": 7, "pmi": 1}\n{"ts": 2, "other": "x"}\n')
+    got = readers.read_telemetry(spark, str(tmp_path))
+    assert {"newKpi", "other"} <= set(got.columns) and "pmi" not in got.columns
+    assert [r["newKpi"] for r in got.orderBy("ord").collect()] == ["7", None]
+
+
+def test_lenient_line_with_one_key_in_two_cases(spark):
+    df = spark.createDataFrame([("r", '{"dlBytes": 1, "dlbytes": 5, "ulBytes": 2}')], "run_id string, value string")
+    assert readers.lenient_records(df).first()["tot_bytes"] == 7.0
