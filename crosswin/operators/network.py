@@ -107,8 +107,8 @@ def panes_to_windows(panes: DataFrame, W: int, S: int, pane: str = "pane") -> Da
     )
 
 
-def flows_to_windows(flows: DataFrame, W: int, S: int) -> DataFrame:
-    """Row-level interval join: one row per (flow, window that contains it)."""
+def flows_to_windows(flows: DataFrame, spans: DataFrame, W: int, S: int) -> DataFrame:
+    """Row-level interval join: one row per (flow, window of the run's grid that contains it)."""
     lo = F.greatest(F.floor((F.col("t_rel_s") - W) / S) + 1, F.lit(0).cast("bigint"))
     hi = F.floor(F.col("t_rel_s") / S)
     first = F.greatest(lo - 1, F.lit(0).cast("bigint")) * S
@@ -116,7 +116,9 @@ def flows_to_windows(flows: DataFrame, W: int, S: int) -> DataFrame:
         F.sequence(first, (hi + 1) * S, F.lit(S).cast("bigint")),
         lambda w0: (w0 <= F.col("t_rel_s")) & (F.col("t_rel_s") < w0 + W),
     ))
-    return flows.withColumn("window_start_s", start).withColumn("window_end_s", F.col("window_start_s") + W)
+    out = flows.withColumn("window_start_s", start).withColumn("window_end_s", F.col("window_start_s") + W)
+    known = attach(out, spans.select("run_id", F.col("last_start_s").alias("_last")), "run_id", "inner")
+    return known.where(F.col("window_start_s") <= F.col("_last")).drop("_last")
 
 
 # ---- mergeable moments -------------------------------------------------------------------

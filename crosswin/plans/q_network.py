@@ -85,12 +85,11 @@ def _window_grid(spark, d):
     return net.window_grid(net.run_spans(timed_flows(spark, d), W, S), W, S)
 
 
-@query("flows_to_windows", "J5 W11", f"""WITH {REL_SQL},
-fan AS (SELECT run_id, ord, unnest(range(0, CAST(floor(t / {S}) AS BIGINT) + 2)) * {S} AS window_start_s, t FROM rel)
-SELECT run_id, ord, window_start_s, window_start_s + {W} AS window_end_s FROM fan
-WHERE t >= window_start_s AND t < window_start_s + {W}""")
+@query("flows_to_windows", "J5 W11", f"""WITH {WIN_SQL}
+SELECT run_id, ord, w0 AS window_start_s, w0 + {W} AS window_end_s FROM fw""")
 def _flows_to_windows(spark, d):
-    return net.flows_to_windows(timed_flows(spark, d).select("run_id", "ord", "t_rel_s"), W, S).select(
+    timed = timed_flows(spark, d)
+    return net.flows_to_windows(timed.select("run_id", "ord", "t_rel_s"), net.run_spans(timed, W, S), W, S).select(
         "run_id", "ord", "window_start_s", "window_end_s")
 
 
