@@ -6,14 +6,19 @@ a parity sketch: equal shingles cancel, so two sketches differ in no more places
 
 Size bands overlap so that any two sets that can reach the threshold share one. A band whose sets
 hold at most T shingles allows D = floor((100 - t) * 2T / (100 + t)) differing shingles. Its sketch
-is cut into D + 1 + e slices (a shingle's hash picks the slice); each differing shingle spoils one
-slice, so linked sets agree on at least e + 1 of them. Every set leaves out its e emptiest slices -
-the order depends on the slice alone, hence the fullest common slice is always sent by both - and
-joins on the remaining D + 1. Pairs are tested against a 1024-bit sketch, then exactly.
+is cut into k > D slices (a shingle's hash picks the slice); each differing shingle spoils one
+slice. A set of n shingles differs from any partner in the band by at most d shingles, d from n and
+the largest size such a partner can have, so both agree on at least k - d slices. Every set leaves
+out its k - d - 1 emptiest slices - the order depends on the slice alone, hence the fullest common
+slice is always sent by both - and joins on the remaining d + 1. Sets with d = 0 can only be equal
+and need no join. Pairs are tested against three 1024-bit sketches, then exactly.
 
 Only connected sets matter. A slice's documents are first paired with its smallest document and
 with their neighbour; links found so contract documents into components, and only pairs of
-documents that still lie in different components are tested after that, until none is left.
+documents that still lie in different components are tested after that, until none is left. A
+slice that would still give many such pairs - near copies just below the threshold, or a passage
+that many documents share - is cut into blocks of documents whose sketches are compared block by
+block inside tasks; only pairs that the sketches let through become rows.
 """
 
 from __future__ import annotations
@@ -26,26 +31,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crosswin.llm.components import connected_components
-from crosswin.llm.tables import BROADCAST_BYTES, Scratch, look_up, text_rows
+from crosswin.llm.tables import BROADCAST_BYTES, Scratch, look_up, tasks, text_rows
 from crosswin.llm.text import chunks, column_of, list_array, mix, signed, split_words, window_hashes
 from crosswin.operators.scale import table_bytes
 
 SKETCH_BITS = 1024
+SKETCHES_KEPT = 3
+LANES = SKETCH_BITS // 64
 BAND_RATIO = 1.6
+OPEN_PAIRS = 64  # pairs between components from which a slice is compared in blocks
+BLOCK = 1024  # documents of a block
 
 
-def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, slices D + 1 + e, slices left out e) of each band."""
+def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
+    """(smallest size, largest size, slices k) of each band."""
     out, low = [], 1
     while not out or out[-1][1] < largest:
         top = max(low, int(low * BAND_RATIO))
         differing = (100 - percent) * 2 * top // (100 + percent)
-        spare = max(1, (differing + 1) // 8) if differing else 0
-        out.append((low, top, differing + 1 + spare, spare))
+        out.append((low, top, differing + 1 + max(1, (differing + 1) // 8)))
         low = -(-percent * (top + 1) // 100)
     return out
 
 
+def most_differing(n: np.ndarray, top: np.ndarray, percent: int) -> np.ndarray:
+    """Largest symmetric difference of a set of n with a linked set of the same band."""
+    return (100 - percent) * (n + np.minimum(top, 100 * n // percent)) // (100 + percent)
+
+
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, flat, and offsets."""
     words = split_words(pc.ascii_lower(texts))
@@ -70,11 +83,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), offset
 
 
-def slice_keys(items: np.ndarray, row: np.ndarray, n: np.ndarray, band: np.ndarray, plan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def slice_keys(items: np.ndarray, row: np.ndarray, n: np.ndarray, band: np.ndarray, plan: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the slices that each set sends in its band; band -1 sends none."""
-    in_band = band >= 0
+    differing = most_differing(n, plan[band, 1], percent)
+    in_band = (band >= 0) & (differing > 0)
     count = np.where(in_band, plan[band, 2], 0)
-    spare = np.where(in_band, plan[band, 3], 0)
+    spare = count - differing - 1
     base = np.concatenate([[0], np.cumsum(count)])
     used = in_band[row]
     items, row = items[used], row[used]
@@ -104,9 +118,9 @@ def sketch(width: int, percent: int):
             plan = np.array(bands(percent, 2 * int(n.max(initial=1))), dtype=np.int64)  # and the band after the last one
             upper = np.searchsorted(plan[:, 1], n)  # first band with n <= its top
             also = np.minimum(upper + 1, len(plan) - 1)
-            upper = np.where(n > 0, upper, -1)
             also = np.where((n > 0) & (also > upper) & (plan[also, 0] <= n), also, -1)
-            sent = [slice_keys(items, row, n, b, plan) for b in (upper, also)]
+            upper = np.where(n > 0, upper, -1)
+            sent = [slice_keys(items, row, n, b, plan, percent) for b in (upper, also)]
             owner, key = (np.concatenate(x) for x in zip(*sent))
             order = np.argsort(owner, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
@@ -115,14 +129,16 @@ def sketch(width: int, percent: int):
             if len(full):
                 h1[full] = np.add.reduceat(items, offset[full])
                 h2[full] = np.bitwise_xor.reduceat(mix(items), offset[full])
-            lanes = SKETCH_BITS // 64
-            bits = np.zeros(len(n) * lanes, np.uint64)
-            bit = items % np.uint64(SKETCH_BITS)
-            np.bitwise_xor.at(bits, row * lanes + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            width_bits = LANES * SKETCHES_KEPT
+            bits = np.zeros(len(n) * width_bits, np.uint64)
+            for k in range(SKETCHES_KEPT):
+                bit = mix(items + np.uint64(k)) % np.uint64(SKETCH_BITS)
+                lane = row * width_bits + k * LANES + (bit >> np.uint64(6)).astype(np.int64)
+                np.bitwise_xor.at(bits, lane, np.uint64(1) << (bit & np.uint64(63)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(signed(h1)), pa.array(signed(h2)),
-                    list_array(pa.array(signed(bits)), np.arange(len(n) + 1) * lanes),
+                    list_array(pa.array(signed(bits)), np.arange(len(n) + 1) * width_bits),
                     list_array(pa.array(signed(key[order])), ends),
                 ],
                 ["doc_id", "n", "h1", "h2", "bits", "keys"])
@@ -158,8 +174,9 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, width: int, per
     """Written links (a, b) among candidate pairs: sizes and sketches first, then whole sets."""
     of = {s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
     seen = look_up(look_up(pairs, of["a"], ["a"], "inner"), of["b"], ["b"], "inner")
-    distance = F.aggregate(
-        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    distance = F.greatest(*[
+        F.aggregate(F.slice(differ, 1 + k * LANES, LANES), F.lit(0), lambda s, x: s + x) for k in range(SKETCHES_KEPT)])
     allowed = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     near = seen.where(
         (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (distance <= allowed)).select("a", "b").distinct()
@@ -177,6 +194,76 @@ def with_text(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return texts.withColumnRenamed("text", f"text_{side}").join(wanted, "doc_id").drop("doc_id")
 
 
+def compare_blocks(percent: int):
+    """Function for mapInArrow over rows sorted by (key, lo, hi): pairs of documents of block lo
+    and block hi that lie in different components and whose sizes and sketches allow a link.
+    """
+
+    def close(x: dict[str, np.ndarray], y: dict[str, np.ndarray], within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(x["n"]), 128):
+            n, m = x["n"][at:at + 128, None], y["n"][None, :]
+            allowed = (100 - percent) * (n + m) // (100 + percent)
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (x["component"][at:at + 128, None] != y["component"][None, :])
+            if within:
+                ok &= np.arange(at, at + len(n))[:, None] < np.arange(len(y["n"]))[None, :]
+            i, j = np.nonzero(ok)
+            for k in range(SKETCHES_KEPT):
+                for part in range(0, max(len(i), 1), 1 << 17) if len(i) else ():
+                    some = slice(part, part + (1 << 17))
+                    lanes = slice(k * LANES, (k + 1) * LANES)
+                    far = np.bitwise_count(x["bits"][at + i[some], lanes] ^ y["bits"][j[some], lanes]).sum(axis=1, dtype=np.int64)
+                    ok[i[some], j[some]] = far <= allowed[i[some], j[some]]
+                i, j = np.nonzero(ok)
+            yield x["rep"][at + i], y["rep"][j]
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        one = {c: rows.column(c).to_numpy() for c in ("rep", "component", "n", "block", "lo", "hi")}
+        one["bits"] = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES * SKETCHES_KEPT)
+        lo, hi = one["lo"][0], one["hi"][0]
+        x, y = ({c: v[one["block"] == b] for c, v in one.items()} for b in (lo, hi))
+        for a, b in close(x, y, lo == hi):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one group: two blocks at most
+        for batch in batches:
+            where = [batch.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            cuts = np.flatnonzero(np.any([w[1:] != w[:-1] for w in where], axis=0)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("key", "lo", "hi")):
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                held.append(piece)
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def open_pairs(left: DataFrame, facts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs in different components that share a slice and may be linked."""
+    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("g"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    many = scratch.put(sizes.where((F.col("g") * F.col("g") - F.col("same")) / 2 > OPEN_PAIRS).select("key", "g"), "rest-many")
+    marked = scratch.put(look_up(left, many, ["key"]), "rest-marked")
+    few = marked.where("g is null").select("key", "rep", "component")
+    other = few.select("key", F.col("rep").alias("other"), F.col("component").alias("oc"))
+    met = few.join(other, "key").where("component <> oc AND rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    placed = marked.where("g is not null").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("lo"), F.greatest(x, "block").alias("hi")))
+    spread = placed.select("key", "rep", "component", "block", F.explode(pairs).alias("p")).select("key", "rep", "component", "block", "p.lo", "p.hi")
+    spread = look_up(spread, facts.withColumnRenamed("doc_id", "rep"), ["rep"], "inner")
+    dealt = spread.repartition(tasks(left.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return met.union(dealt.mapInArrow(compare_blocks(percent), "a bigint, b bigint"))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document.
 
@@ -231,16 +318,16 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
                 F.first("component").over(v.rowsBetween(Window.unboundedPreceding, 0)).alias("fc"))
             found = around.where("pc <> component").select("rep", F.col("p").alias("other"))
             found = found.union(around.where("fc <> component").select("rep", F.col("f").alias("other")))
+            found = found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
         else:
-            other = left.select("key", F.col("rep").alias("other"), F.col("component").alias("oc"))
-            found = left.join(other, "key").where("component < oc").select("rep", "other")
-        found = found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        fresh = scratch.put(found.join(tested, ["a", "b"], "left_anti"), f"{step}-pairs")
+            found = open_pairs(left, facts, percent, scratch)
+        fresh = scratch.put(found.distinct().join(tested, ["a", "b"], "left_anti"), f"{step}-pairs")
         more = verify(fresh, facts, texts, width, percent, scratch, step)
         tested, links = tested.union(fresh), links.union(more)
         if more.isEmpty():
             continue
         comp = scratch.put(connected_components(links, scratch, f"comp-{step}"), f"components-{step}")
+    scratch.drop("facts", "groups", "live", "pairs-1", "rest-many", "rest-marked", *[f"{s}-{t}" for s in ("star", "hashed", "rest") for t in ("left", "pairs", "near", "links")])
     out = look_up(rows, comp.withColumnRenamed("node", "rep"), ["rep"])
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),

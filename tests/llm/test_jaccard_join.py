@@ -50,21 +50,27 @@ def corpus():
 
 @pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
 def test_components_equal_brute_force(make_docs, width, percent, monkeypatch):
-    monkeypatch.setattr(J, "OPEN_PAIRS", 3)  # so that crowded slices are paired here too
+    monkeypatch.setattr(J, "OPEN_PAIRS", 1)  # so that crowded slices are compared in blocks here too
+    monkeypatch.setattr(J, "BLOCK", 5)
     rows = [*corpus(), *[(1000 + i, t) if i is not None else (i, t) for i, t in ODD]]
     got = {tuple(r) for r in J.similar_documents(make_docs(rows), width, percent).collect()}
     assert got == brute(rows, width, percent)
 
 
-def test_bands_hold_every_pair_and_keep_two_common_slices():
+def test_bands_hold_every_pair_and_common_slices():
+    import numpy as np
+
     for percent in (80, 85):
         plan = J.bands(percent, 5000)
         for b in range(1, 2000):
             a = -(-percent * b // 100)
-            assert any(low <= a and b <= top for low, top, _, _ in plan)
-        for _, top, slices, left_out in plan:
-            differing = (100 - percent) * 2 * top // (100 + percent)
-            assert slices == 0 if differing == 0 else slices - differing - left_out == 2
+            shared = [(top, k) for low, top, k in plan if low <= a and b <= top]
+            assert shared
+            differing = (100 - percent) * (a + b) // (100 + percent)
+            for top, k in shared:  # what both leave out can't hold all common slices
+                for n in (a, b):
+                    d = int(J.most_differing(np.array(n), np.array(top), percent))
+                    assert differing <= d < k
 
 
 def test_empty_table(make_docs):
