@@ -112,7 +112,7 @@ def op5(spark, sf_dir):
     place = F.when(at == 0, F.coalesce("source", F.lit(""))).when(at == 25, F.concat_ws("/", "source", "lang")).otherwise(leaf)
     name = F.when(at % 25 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat(F.lit("file"), F.col("doc_id"), F.lit(".txt")))
     out = license_scan.scan_licenses(docs.select(F.concat_ws("/", place, name).alias("path"), "text"))
-    doc_id = F.regexp_extract("path", r"(?:file|LICENSE\.)(-?[0-9]+)(?:\.txt)?$", 1).cast("bigint").alias("doc_id")
+    doc_id = F.regexp_extract("path", r"(?:file|LICENSE\.)(-?[0-9]+)(?:\.txt)?$", 1).try_cast("bigint").alias("doc_id")
     return out.select(doc_id, "path", "own_license", F.round("cosine", 6).alias("cosine"), "license", "license_dir")
 
 
