@@ -205,11 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Classifier:
             yield pa.RecordBatch.from_arrays([batch.column("role"), list_array(pa.array(feature, pa.int32()), offset)], ["role", "features"])
 
     def part(of: DataFrame, n: int, most: int, role: str) -> DataFrame:
-        lot = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
-        return of.where(lot < F.lit(min(1_000_000, int(1_000_000 * most / max(n, 1))))).limit(most).select("text", F.lit(role).alias("role"))
+        lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000))
+        drawn = of.where(lot < F.lit(min(1_000_000, int(1_000_000 * most / max(n, 1))))).select("text", F.lit(role).alias("role"))
+        # the limit cuts what the lots draw beyond their mean; it moves lists of features, not texts
+        return drawn.mapInArrow(selected, "role string, features array<int>").limit(most)
 
-    sample = part(rows.where("positive"), sizes.p, MAX_POSITIVE, "p").union(part(rows, sizes.u, MAX_UNLABELLED, "u"))
-    taken = sample.mapInArrow(selected, "role string, features array<int>").toArrow()
+    taken = part(rows.where("positive"), sizes.p, MAX_POSITIVE, "p").union(part(rows, sizes.u, MAX_UNLABELLED, "u")).toArrow()
     lists = {"p": [], "u": []}
     for role, features in zip(taken.column("role").to_pylist(), taken.column("features").to_pylist()):
         lists[role].append(np.asarray(features, np.int32))
