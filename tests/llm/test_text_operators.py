@@ -157,3 +157,13 @@ def test_leaks(spark, make_docs):
     assert got[10, 0].leak == "verbatim" and got[11, 0].leak == "reparameterised" and got[10, 0].coverage == 1.0
     assert template_leaks.find_leaks(make_docs([]), bench).count() == 0
     assert template_leaks.find_leaks(make_docs(rows), bench.where("false")).count() == 0
+
+
+def test_items_of_one_template_are_judged_apart(spark, make_docs):
+    shop = "Tom has {} red apples in his basket and buys {} green ones from us"
+    sums = "add 1 2 3 4 5 to 6 {} 8 9 10 then stop"  # over half are slots
+    bench = spark.createDataFrame([(50, shop.format(5, 5)), (51, shop.format(3, 7)), (52, sums.format(7)), (53, sums.format(70)), (54, sums.format(7))], "item_id long, text string")
+    rows = [(20, shop.format(3, 7)), (21, sums.format(70)), (22, shop.format(5, 5)), (23, shop.format(4, 9).replace("Tom", "Eve")), (24, sums.format(7))]
+    got = {(x.doc_id, x.item_id): x.leak for x in template_leaks.find_leaks(make_docs(rows), bench).collect()}
+    assert got[20, 51] == got[21, 53] == got[22, 50] == got[24, 52] == got[24, 54] == "verbatim"
+    assert got[23, 51] == "reparameterised" and got.get((20, 50)) != "verbatim" and not {(21, 50), (22, 52), (24, 50)} & set(got)
