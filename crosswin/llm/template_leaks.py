@@ -167,7 +167,7 @@ def judge_item(found: list[dict], words: list[int], slots: list[int]) -> tuple[i
             back.setdefault(y, set()).add(x)
         single = sum(len(ys) == 1 and len(back[next(iter(ys))]) == 1 for ys in ahead.values())
         whole = single >= LEAST_CONSISTENT * len(ahead)
-        counted = windows if whole else []
+        counted = [w for w in windows if whole or w[3] or all((words[p], y) in kept for p, y in w[2].items())]
         if not counted:
             continue
         n_places += 1

@@ -167,3 +167,20 @@ def test_items_of_one_template_are_judged_apart(spark, make_docs):
     got = {(x.doc_id, x.item_id): x.leak for x in template_leaks.find_leaks(make_docs(rows), bench).collect()}
     assert got[20, 51] == got[21, 53] == got[22, 50] == got[24, 52] == got[24, 54] == "verbatim"
     assert got[23, 51] == "reparameterised" and got.get((20, 50)) != "verbatim" and not {(21, 50), (22, 52), (24, 50)} & set(got)
+
+
+def test_one_value_in_two_roles_and_changed_case(spark, make_docs):
+    tail = "that the old keeper of the house by the long river had left there for the children of the village in the autumn"
+    bench = spark.createDataFrame([
+        (60, "He took 12 apples and paid 12 coins for all the things " + tail),
+        (61, "Maria bought 12 apples for 3 dollars each and sold 7 pears at 2 cents every day"),
+    ], "item_id long, text string")
+    rows = [
+        (20, "He took 47 apples and paid 99 coins for all the things " + tail),
+        (21, "MARIA BOUGHT 47 APPLES FOR 9 EUROS EACH AND SOLD 8 PEARS AT 5 POUNDS EVERY DAY"),
+        (22, "maria bought 47 apples for 9 euros each and sold 8 pears at 5 pounds every day"),
+        (23, "He took 47 apples and paid 99 coins for all the rest"),
+    ]
+    got = {(x.doc_id, x.item_id): x for x in template_leaks.find_leaks(make_docs(rows), bench).collect()}
+    assert set(got) == {(20, 60), (21, 61), (22, 61)} and all(x.leak == "reparameterised" for x in got.values())
+    assert got[20, 60].covered >= 20 and got[21, 61].coverage == 1.0
