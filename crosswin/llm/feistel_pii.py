@@ -23,8 +23,8 @@ from crosswin.llm.text import chunks
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-# fixed values: length of account numbers by country
-ACCOUNT_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# fixed values: length of account numbers by country, all that are registered
+ACCOUNT_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 
 
 def permute(value: int, size: int, key: bytes, kind: str) -> int:
@@ -171,38 +171,61 @@ def date(order: str) -> Callable[[str, bytes], str | None]:
 
 # a kind's pattern, its test and replacement; what comes first takes the characters
 EDGE, END = r"(?<![\w@.+-])", r"(?![\w@])"
+ACCOUNT, CARD = r"[A-Z]{2}\d{2}(?:[ -]?[0-9A-Z]){11,30}(?!\w)", r"\d(?:[ -]?\d){12,18}" + END
 KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("mail", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@])"), mail),
     ("secret", re.compile(r"(?i:token|secret|password|api[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?[0-9A-Fa-f]{24,128}(?![0-9A-Za-z])"), secret),
-    ("account", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[0-9A-Z]{1,4}){3,8}(?!\w)"), account),
+    ("account", re.compile(r"(?<!\w)" + ACCOUNT), account),
     ("ip", re.compile(EDGE + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w)"), network_address),
     ("date", re.compile(EDGE + r"\d{4}-\d{2}-\d{2}(?![\d-])"), date("ymd")),
     ("date", re.compile(EDGE + r"\d{4}/\d{2}/\d{2}(?![\d/])"), date("ymd")),
     ("date", re.compile(EDGE + r"\d{2}\.\d{2}\.\d{4}(?!\.?\d)"), date("dmy")),
     ("date", re.compile(EDGE + r"\d{2}/\d{2}/\d{4}(?![\d/])"), date("mdy")),
     ("social", re.compile(EDGE + r"\d{3}-\d{2}-\d{4}(?![\d-])"), social),
-    ("card", re.compile(EDGE + r"\d(?:[ -]?\d){12,18}" + END), card),
+    ("card", re.compile(EDGE + CARD), card),
     ("phone", re.compile(r"(?<![\w@.+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}" + END), phone),
     ("phone", re.compile(r"(?<![\w@.+)(-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + END), phone),
 ]
 
 
+# kinds whose candidates run on across blanks, and what may start inside one that failed
+OPEN = {"account": re.compile(ACCOUNT), "card": re.compile(CARD), "phone": None}
+BREAKS = re.compile(r"[ .-]+")
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of everything private in a text, in order, without overlaps."""
+    """(start, end, kind, pseudonym) of everything private in a text, in order, without overlaps.
+
+    A candidate may have swallowed what stands after a number: if it fails, its prefixes up to each
+    break are tried, the longest first, and then the search goes on after its first group.
+    """
     taken: list[tuple[int, int, str, str]] = []
     free = bytearray(len(text))
     for kind, pattern, replace in KINDS:
-        for m in pattern.finditer(text):
+        m = pattern.search(text)
+        while m:
             a, b = m.span()
-            if any(free[a:b]):
-                continue
-            new = replace(m.group(), key)
-            if new is not None:
-                taken.append((a, b, kind, new))
-                free[a:b] = b"\1" * (b - a)
+            breaks = list(BREAKS.finditer(text, a, b)) if kind in OPEN else []
+            for end in (b, *(x.start() for x in reversed(breaks))):
+                # the part before a break must hold as a candidate too
+                part = m.group() if end == b else (p.group() if (p := pattern.match(text, a, end) or inside(kind, text, a, end)) and p.end() == end else None)
+                new = replace(part, key) if part and not any(free[a:end]) else None
+                if new is not None:
+                    taken.append((a, end, kind, new))
+                    free[a:end] = b"\1" * (end - a)
+                    m = pattern.search(text, end)
+                    break
+            else:
+                at = breaks[0].end() if breaks else b
+                m = breaks and inside(kind, text, at, len(text)) or pattern.search(text, at)
     return sorted(taken)
 
 
+def inside(kind: str, text: str, at: int, end: int) -> re.Match | None:
+    """A candidate right after a break, whatever stands before it."""
+    return OPEN[kind].match(text, at, end) if OPEN[kind] else None
+
+
 FOUND = "array<struct<kind:string,start:int,length:int,pseudonym:string>>"
 
 

@@ -41,6 +41,17 @@ def test_findings_keep_format_and_link_values():
     assert P.find(text, b"another 16 bytes")[0][3] != found[0][3]
 
 
+def test_numbers_before_other_numbers_are_found():
+    card, bank = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    for text, want in [
+        (f"card {card} 12/25", card), ("4111111111111111 123 x", "4111111111111111"), (f"{bank} EUR", bank), (f"GB12 {bank} COBADEFF", bank),
+        ("DE89370400440532013000 2024 paid", "DE89370400440532013000"), (f"7 12 {card}", card), (f"12-34-56 {card} 7", card), (f"99-{card.replace(' ', '-')}-1", card.replace(" ", "-")),
+        (f"{card} 29.02.2024", card), ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("GR1601101250000000012300695 AB", "GR1601101250000000012300695"),
+    ]:
+        assert want in [text[a:b] for a, b, k, _ in P.find(text, KEY) if k in ("card", "account")], text
+    assert [k for _, _, k, _ in P.find("1111 1111 1111 1111 and 1234 5678 and DE00 3704 0044 0532 0130 00 EUR", KEY)] == []
+
+
 def test_pseudonymise_rows(make_docs):
     rows = [*ODD, (20, "mail me at jo.doe@mail.example.org today"), (21, "jo.doe@mail.example.org")]
     got = {r.doc_id: r for r in P.pseudonymise(make_docs(rows), KEY).collect()}
