@@ -2,8 +2,9 @@
 
 Terms are words and word pairs of the templates. Their document frequencies are counted over the
 lines of all files. Every line of every whole text that shares rare enough terms is compared with
-all templates in one sparse product; the best line decides. Files without a licence of their own
-inherit that of the nearest ancestor directory that has a licence file.
+all templates in one sparse product, and every span of as many words as a template has, across
+lines and comment marks, with that template; the best line or span decides. Files without a licence
+of their own inherit that of the nearest ancestor directory that has a licence file.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -44,7 +49,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|/"
 LEAST_COSINE = 0.75
-LEAST_SHARE = 0.5  # of a line's words that the template vocabulary must hold
+LEAST_SHARE = 0.5  # of the words of a line or span that the template vocabulary must hold
 
 
 def bare(word: str) -> str:
@@ -110,8 +115,51 @@ def template_matrix(idf: np.ndarray) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def spans(texts: pa.Array, idf: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(template, row, cosine) of the spans near a template, each as long as it or a whole shorter text."""
+    words, pairs = vocabulary()
+    size, n_terms = len(words), len(idf)
+    split = split_words(texts)
+    stripped = [bare(w) for w in split.vocab]
+    real = np.array([bool(w) for w in stripped], bool)[split.code]  # marks of comments are no words
+    offset = np.concatenate([[0], np.cumsum(real)])[split.offset]
+    code = np.array([words.get(w, -1) for w in stripped], np.int64)[split.code[real]]
+    n = len(code)
+    table = np.full(size * size, -1, np.int64)
+    for (a, b), k in pairs.items():
+        table[a * size + b] = k
+    pair = np.full(n, -1, np.int64)  # of a word and the next
+    both = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
+    pair[both] = table[code[both] * size + code[both + 1]]
+    end = np.repeat(offset[1:], np.diff(offset))  # of the text around each word
+    first = np.zeros(n, bool)
+    first[offset[:-1][np.diff(offset) > 0]] = True
+    known = np.concatenate([[0], np.cumsum(code >= 0)])
+    summed = lambda values, of: np.concatenate([[0.0], np.cumsum(np.append(values, 0.0)[of])])
+    least = [summed(idf**2, of) for of in (code, pair)]  # of the squared norm: counts are at least one
+    lengths = [len([w for w in t.split() if bare(w)]) for _, t in TEMPLATES]
+    for width in sorted(set(lengths)):
+        stop = np.minimum(np.arange(n) + width, end)
+        start = np.flatnonzero(((stop - np.arange(n) == width) | first) & (known[stop] - known[:-1] >= LEAST_SHARE * (stop - np.arange(n))))
+        stop = stop[start]
+        norm = np.sqrt(least[0][stop] - least[0][start] + least[1][stop - 1] - least[1][start])
+        for k in (k for k, length in enumerate(lengths) if length == width and len(start)):
+            one, two = (summed(idf * matrix[k], of) for of in (code, pair))
+            near = np.flatnonzero(one[stop] - one[start] + two[stop - 1] - two[start] >= (LEAST_COSINE - 1e-6) * norm)
+            for a in range(0, len(near), 2048):
+                some, till = start[near[a:a + 2048], None], stop[near[a:a + 2048], None]
+                at = some + np.arange(width)
+                inner = np.minimum(at, n - 1)
+                held = np.concatenate([np.where(at < till, code[inner], -1), np.where(at < till - 1, pair[inner], -1)], axis=1)
+                keys = (np.arange(len(some))[:, None] * n_terms + held)[held >= 0]
+                vectors = np.bincount(keys, minlength=len(some) * n_terms).reshape(len(some), n_terms) * idf
+                cosine = vectors @ matrix[k] / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+                good = cosine >= LEAST_COSINE
+                yield k, np.searchsorted(offset, some[good, 0], side="right") - 1, cosine[good]
+
+
 def scan(files: DataFrame, scratch: Scratch) -> DataFrame:
-    """path, license and cosine of each file; license is null where no line comes near a template."""
+    """path, license and cosine of each file; license is null where no line or span comes near a template."""
     rows = files.select("path", "text")
     counts = rows.mapInArrow(count_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r.term: r.n for r in counts.collect()}  # as long as the templates' vocabulary
@@ -139,6 +187,10 @@ def scan(files: DataFrame, scratch: Scratch) -> DataFrame:
                 for i in np.flatnonzero(cosine.max(axis=1) >= LEAST_COSINE):
                     if cosine[i, top[i]] > best[of[i]]:
                         best[of[i]], which[of[i]] = cosine[i, top[i]], top[i]
+            for k, of, cosine in spans(column_of(batch, "text"), idf, matrix):
+                for i, c in zip(of, cosine):
+                    if c > best[i] + 1e-9:  # equal but for rounding: the first stays
+                        best[i], which[i] = c, k
             yield pa.RecordBatch.from_arrays(
                 [batch.column("path"), pa.array([names[k] if k >= 0 else None for k in which], pa.string()), pa.array(best)], ["path", "license", "cosine"])
 

@@ -127,6 +127,34 @@ def test_licenses_are_inherited(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    plain = "some text about nothing\nand more of it\n"
+    gpl = """/*
+ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ */
+"""
+    mit = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software.
+"""
+    inside = "We wrote many words of our own here about the weather " * 3 + "Licensed under the Apache License, Version 2.0 and then again " + "we wrote many other words " * 5
+    rows = [
+        ("LICENSE", mit), ("a/x.c", gpl.format(":", "", ",", "3") + plain), ("b/LICENSE", gpl.format(";", "", ";", "2")), ("b/y.c", plain), ("c/x.c", gpl.format(":", "Affero ", ",", "3")),
+        ("c/one.txt", inside), ("c/two.txt", "Released under\nthe MIT License."), ("c/z.c", plain), ("c/w.c", "you can modify the terms of this program under\nany other version of the software " * 9),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
+    want = {"LICENSE": ("MIT", None), "a/x.c": ("GPL-3.0", None), "b/LICENSE": ("GPL-2.0", None), "b/y.c": ("GPL-2.0", "b"), "c/x.c": ("AGPL-3.0", None)}
+    want |= {"c/one.txt": ("Apache-2.0", None), "c/two.txt": ("MIT", None), "c/z.c": ("MIT", ""), "c/w.c": ("MIT", "")}
+    assert {r.path: (r.license, r.license_dir) for r in got} == want
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, make_docs):
     import corpus_pipeline
 
