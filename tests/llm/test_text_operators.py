@@ -1,11 +1,14 @@
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import sentencepiece
+import xxhash
 
 from conftest_odd import ODD
 from crosswin.llm import line_dedup, piece_codec, pu_toxicity, stages, template_leaks, trusted_rules
@@ -184,3 +187,125 @@ def test_one_value_in_two_roles_and_changed_case(spark, make_docs):
     got = {(x.doc_id, x.item_id): x for x in template_leaks.find_leaks(make_docs(rows), bench).collect()}
     assert set(got) == {(20, 60), (21, 61), (22, 61)} and all(x.leak == "reparameterised" for x in got.values())
     assert got[20, 60].covered >= 20 and got[21, 61].coverage == 1.0
+
+
+def spark_hash(words, seed=42):
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    return seed % (1 << 64)
+
+
+def brute_ratio(rows, trusted):
+    """doc_id to (score, kept)."""
+    grams = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[i] = [spark_hash(g) % trusted_rules.BUCKETS for g in [(w,) for w in words] + [tuple(words[k:k + 2]) for k in range(len(words))]]
+    raw = Counter(b for g in grams.values() for b in g)
+    target = Counter(b for i, g in grams.items() if i in trusted for b in g)
+    n_raw, n_target = (sum(c.values()) + trusted_rules.BUCKETS for c in (raw, target))
+    out = {}
+    for i, t in rows:
+        logs = [math.log((target[b] + 1) / n_target / ((raw[b] + 1) / n_raw)) for b in grams[i]]
+        score, want = sum(logs) / len(logs) if logs else None, base_rules(t)
+        out[i] = score, bool(logs) and score >= trusted_rules.THRESHOLD and want[0] >= 10 and 5 * want[4] <= want[0]
+    return out
+
+
+def test_ratio_equals_brute_force(spark, make_docs):
+    r = random.Random(12)
+    rows = [(k, " ".join(r.choice("the cat sat on a mat é # |x".split() + [str(r.randrange(k))]) for _ in range(r.randint(5, 40)))) for k in range(50, 120)]
+    rows += [(1, None), (2, ""), (3, "one"), (None, "no id but more than ten words stand in this text here now")]
+    rows += [(k, " ".join("own" + str(r.randrange(99)) for _ in range(30))) for k in range(200, 206)]
+    ids = set(range(50, 118))
+    want = brute_ratio(rows, ids)
+    got = trusted_rules.judge_quality(make_docs(rows), spark.createDataFrame([(k,) for k in ids], "doc_id long")).collect()
+    assert len(got) == len(rows) and len({x.kept for x in got}) == 2
+    for x in got:
+        score, kept = want[x.doc_id]
+        assert x.score == (None if score is None else pytest.approx(score, abs=2e-6)) and x.kept == kept
+
+
+def brute_leaks(rows, items):
+    """(doc_id, item_id) to (covered, leak), by comparing all windows of all pairs."""
+    def words(text):
+        bare = [w.strip(template_leaks.EDGES) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [(w.lower(), template_leaks.kind(w)) for w in bare if w]
+
+    out, name = {}, template_leaks.NAME
+    for i, text in rows:
+        for j, item in items:
+            a, b = words(text), words(item)
+            width, places = min(8, len(b)), {}
+            if i is None or len(b) < 4:
+                continue
+            for p in range(len(a) - width + 1):
+                for q in range(len(b) - width + 1):
+                    x, y = a[p:p + width], b[q:q + width]
+                    fits = x_equal = [u[0] for u in x] == [v[0] for v in y]
+                    for kinds in ({template_leaks.NUM, template_leaks.UNIT, name}, {template_leaks.NUM, template_leaks.UNIT}):
+                        shape = [[k if k in kinds else w for w, k in side] for side in (x, y)]
+                        fits |= shape[0] == shape[1] and 2 * sum(k in kinds for _, k in x) <= width
+                    if fits:
+                        places.setdefault(p - q, []).append((q, x_equal))
+            covered, changed = set(), False
+            for d, found in places.items():
+                slots = sorted({k for q, _ in found for k in range(q, q + width) if b[k][1] is not None})
+                pairs = [(b[k][0], a[k + d][0]) for k in slots]
+                distinct, mapping = set(pairs), []
+                for pair in sorted(distinct, key=lambda z: (-pairs.count(z), pairs.index(z))):
+                    if all(pair[0] != m[0] and pair[1] != m[1] for m in mapping):
+                        mapping.append(pair)
+                single = [x for x in {x for x, _ in distinct} if len(ys := [y for u, y in distinct if u == x]) == 1 and len([u for u, y in distinct if y == ys[0]]) == 1]
+                whole = len(single) >= 0.8 * len({x for x, _ in distinct})
+                kept = [q for q, same in found if whole or same or all((b[k][0], a[k + d][0]) in mapping for k in range(q, q + width) if k in slots)]
+                covered.update(k for q in kept for k in range(q, q + width))
+                changed |= bool(kept) and any(x != y for x, y in pairs)
+            if 2 * len(covered) >= len(b) or len(covered) >= 20:
+                out[i, j] = len(covered), "reparameterised" if changed else "verbatim"
+    return out
+
+
+def test_leaks_equal_brute_force(spark, make_docs):
+    r = random.Random(13)
+    pool = "the old house by a river had apples for Maria Tom Eve 3 5 7 12 dollars cents and then".split()
+    items = [(k, " ".join(r.choice(pool) for _ in range(r.randint(3, 24)))) for k in range(25)]
+    rows = []
+    for k in range(60):
+        text = r.choice(items)[1]
+        for _ in range(r.randint(0, 3)):
+            old, new = r.choice([("3", "9"), ("5", "7"), ("Tom", "Ann"), ("Maria", "Tom"), ("cents", "dollars"), ("12", "5"), ("the", "this")])
+            text = text.replace(old, new, r.choice([1, -1]))
+        rows.append((k, " ".join(["so it is", r.choice([text, text, text.upper(), text.lower()]), "at last"])))
+    want = brute_leaks(rows, items)
+    found = template_leaks.find_leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (x.covered, x.leak) for x in found} == want and len(want) > 30
+
+
+def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
+    import corpus_pipeline
+    from test_jaccard_join import brute
+
+    r = random.Random(14)
+    pool = [f"w{k}" for k in range(60)]
+    rows = [(k, "\n".join([" ".join(r.choice(pool) for _ in range(24)), r.choice(["shared footer line", f"own line {k}"])])) for k in range(1, 61)]
+    rows += [(100 + k, rows[k][1] + r.choice(["", " end"])) for k in range(12)]  # near copies
+    rows += [(120 + k, f"vile nasty words{k % 3} " * 6) for k in range(12)]
+    rows += [(140, "so " + ITEMS[0][1] + " end"), (141, ITEMS[0][1].replace("12", "47").replace("Maria", "Peter")), (142, None), (143, "")]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(120 <= i < 140)) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, labels = (stages.table(spark, str(tmp_path), n) for n in ("documents", "labels"))
+    toxic = {x.doc_id for x in pu_toxicity.score_toxicity(docs, labels).collect() if x.predicted}
+    rest = [(i, t) for i, _, _, t in brute_lines([x for x in rows if x[0] not in toxic], 10).elements()]
+    firsts = {i for i, n, first in brute(rest, 5, 80) if n == 0 or i == first}
+    rest = [x for x in rest if x[0] in firsts]
+    leaked = {i for i, _ in brute_leaks(rest, ITEMS)}
+    library, want = sentencepiece.SentencePieceProcessor(model_file=MODEL), {}
+    for i, t in rest:
+        if i not in leaked:
+            ids = library.encode(t, add_bos=True, add_eos=True)
+            raw = b"".join(x.to_bytes(4, "little") for x in ids)
+            want[i] = len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and leaked == {140, 141} and toxic and len(firsts) < len(rows) - len(toxic)
