@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import digest_filter, feistel_pii, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules, warc_derive
+from crosswin.llm import digest_filter, feistel_pii, feistel_shards, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,27 @@ def sql_uuid(digest: str) -> str:
     return f"'<urn:uuid:' || {digest}[1:8] || '-' || {digest}[9:12] || '-' || {digest}[13:16] || '-' || {digest}[17:20] || '-' || {digest}[21:32] || '>'"
 
 
+CRC_TABLE = """(SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+    list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"""
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of a text in UTF-8, given the column t of CRC_TABLE."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295), 4294967295)"
+
+
+def sql_feistel(source: str, place: str) -> str:
+    """(row, place) of ``source`` permuted once; it has row, place, n, a and b. Every step is a select of its own."""
+    steps, prime = f"SELECT row, n, a, b, {place} // b AS l, {place} % b AS r FROM {source}", feistel_shards.PRIME
+    for i, (k, m) in enumerate(feistel_shards.round_keys(1)):
+        half, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        steps = f"SELECT *, ({other} + {k}) % {prime} AS x FROM ({steps})"
+        steps = f"SELECT * EXCLUDE (x), (x * x + {m}) % {prime} AS y FROM ({steps})"
+        steps = f"SELECT row, n, a, b, {other}, ({half} + y * y % {prime} % {size}) % {size} AS {half} FROM ({steps})"
+    return f"SELECT row, l * b + r AS place FROM ({steps})"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -155,3 +176,19 @@ def op10(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
     out = trusted_rules.judge_quality(table(spark, sf_dir, "documents"), trusted)
     return out.select("doc_id", *trusted_rules.FEATURES, "base_failed", "kept")
+
+
+@query("op12_feistel_shards", f"""
+WITH RECURSIVE tab AS {CRC_TABLE},
+d AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::BIGINT AS row FROM documents),
+side AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM documents),
+walk AS ({sql_feistel("d, side", "row")} UNION ALL {sql_feistel("walk, side WHERE place >= n", "place")}),
+p AS (SELECT row, place FROM walk, side WHERE place < n)
+SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, {sql_crc32("coalesce(text, '')")} AS text_crc32, 'rows' AS law,
+  (place % 40)::INTEGER AS shard, place // 40 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN p USING (row), tab""")
+def op12(spark, sf_dir):
+    """All documents in 40 shards whose counts differ by one at most, by a shuffle of their row numbers."""
+    placed = feistel_shards.assign(table(spark, sf_dir, "documents"), shards=40, seed=1)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
