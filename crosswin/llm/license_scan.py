@@ -77,7 +77,7 @@ def line_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     lists = pc.split_pattern(texts, "\n")
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     split = split_words(lists.flatten())
-    stripped = [bare(w) for w in split.vocab]
+    stripped = [bare(w) for w in split.listed]
     number = np.array([words.get(w, -1) for w in stripped], np.int64)
     empty = np.array([not w for w in stripped], bool)
     line = np.repeat(np.arange(len(row)), split.lengths)
@@ -120,7 +120,7 @@ def spans(texts: pa.Array, idf: np.ndarray, matrix: np.ndarray) -> Iterator[tupl
     words, pairs = vocabulary()
     size, n_terms = len(words), len(idf)
     split = split_words(texts)
-    stripped = [bare(w) for w in split.vocab]
+    stripped = [bare(w) for w in split.listed]
     real = np.array([bool(w) for w in stripped], bool)[split.code]  # marks of comments are no words
     offset = np.concatenate([[0], np.cumsum(real)])[split.offset]
     code = np.array([words.get(w, -1) for w in stripped], np.int64)[split.code[real]]

@@ -46,7 +46,7 @@ def document_features(texts: pa.Array, wanted: np.ndarray | None = None) -> tupl
     """(row, feature) of the distinct features of each text, by row; ``wanted`` maps buckets to features or -1."""
     words = split_words(pc.utf8_lower(texts))
     n = len(words.vocab)
-    vocab = [w.strip(EDGES) for w in words.vocab]
+    vocab = [w.strip(EDGES) for w in words.listed]
     whole = (word_hashes(vocab, 7) % np.uint64(BUCKETS)).astype(np.int64)
     points = np.frombuffer("".join(vocab).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(w) for w in vocab], np.int64)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import digest_filter, feistel_pii, feistel_shards, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, template_leaks, trusted_rules, warc_derive
+from crosswin.llm import digest_filter, feistel_pii, feistel_shards, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, source_divergence, template_leaks, trusted_rules, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,28 @@ def op12(spark, sf_dir):
     placed = feistel_shards.assign(table(spark, sf_dir, "documents"), shards=40, seed=1)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_source_divergence", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS id FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS run FROM d),
+l AS (SELECT lang, source, id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS c FROM t GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c) AS total FROM l GROUP BY lang, term HAVING count(*) >= 3),
+f AS (SELECT lang, source, term, sum(c) AS c FROM l GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, kept.term, coalesce(f.c, 0)::HUGEINT AS c, total::HUGEINT AS total
+  FROM g JOIN kept USING (lang) LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.term = kept.term),
+ng AS (SELECT lang, source, sum(c) AS n FROM dense GROUP BY ALL),
+nl AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+p AS (SELECT lang, source, term, c, 1 + 1000000000 * (c + 1) // (ng.n + v) AS p, 1 + 1000000000 * (total + 1) // (nl.n + v) AS q
+  FROM dense JOIN ng USING (lang, source) JOIN nl USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN apart ON apart.lang = x.lang AND apart.source = x.source AND apart.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200""")
+def op13(spark, sf_dir):
+    """Distances between the sources of a language, and the terms that set a source apart."""
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"), min_docs=3, top=200)

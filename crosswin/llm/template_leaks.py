@@ -62,7 +62,7 @@ class Templates:
 
     def __init__(self, texts: pa.Array):
         words = split_words(texts)
-        bare = [w.strip(EDGES) for w in words.vocab]
+        bare = [w.strip(EDGES) for w in words.listed]
         literal = word_hashes([w.lower() for w in bare])
         kinds = [kind(w) for w in bare]
         template = np.array([h if k is None else k for h, k in zip(literal, kinds)], np.uint64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,53 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(name), "")
 
 
+def buffers_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and bytes of a text column without nulls."""
+    if not len(texts):
+        return np.zeros(1, np.int32), np.empty(0, np.uint8)
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    octets = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.empty(0, np.uint8)
+    return at - at[0], octets
+
+
+def bytewise(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """Texts with every byte replaced by its entry in a table of 256; bytes of longer characters must stay."""
+    at, octets = buffers_of(texts)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(table[octets]))
+
+
 @dataclass
 class Words:
     """Words of a batch: ``code`` indexes ``vocab``; row i holds words offset[i] to offset[i + 1]."""
 
     code: np.ndarray
     offset: np.ndarray
-    vocab: list[str]
+    vocab: pa.Array
 
     @property
     def lengths(self) -> np.ndarray:
         return np.diff(self.offset)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    @cached_property
+    def listed(self) -> list[str]:
+        return self.vocab.to_pylist()
+
+    def hashes(self) -> np.ndarray:
         """64-bit hash of every word, in text order."""
-        return word_hashes(self.vocab, seed)[self.code]
+        return array_hashes(self.vocab)[self.code]
+
+
+def array_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes: a scrambled number for every byte and its place, added up."""
+    at, octets = buffers_of(words)
+    lengths = np.diff(at)
+    out = np.zeros(len(words), np.uint64)
+    if len(octets):
+        place = np.arange(len(octets)) - np.repeat(at[:-1], lengths)
+        some = np.flatnonzero(lengths)
+        out[some] = np.add.reduceat(mix(place.astype(np.uint64) << np.uint64(8) | octets), at[some])
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(vocab: list[str], seed: int = 0) -> np.ndarray:
@@ -59,10 +92,11 @@ def split_words(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten().dictionary_encode()
     code = flat.indices.to_numpy(zero_copy_only=False)
-    vocab = flat.dictionary.to_pylist()
+    vocab = flat.dictionary
     offset = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    if "" in vocab:  # at the ends of a text
-        real = code != vocab.index("")
+    empty = pc.index(vocab, "").as_py()
+    if empty >= 0:  # at the ends of a text
+        real = code != empty
         kept = np.concatenate([[0], np.cumsum(real, dtype=np.int64)])
         code, offset = code[real], kept[offset]
     return Words(code, offset, vocab)
