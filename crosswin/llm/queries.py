@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosswin.llm import digest_filter, feistel_pii, feistel_shards, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, source_divergence, template_leaks, trusted_rules, warc_derive
+from crosswin.llm import digest_filter, feistel_pii, feistel_shards, jaccard_join, license_scan, line_dedup, piece_codec, pu_toxicity, source_divergence, spelling_variants, template_leaks, trusted_rules, warc_derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +178,30 @@ def op10(spark, sf_dir):
     return out.select("doc_id", *trusted_rules.FEATURES, "base_failed", "kept")
 
 
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE tab AS {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, c, {sql_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, tab),
+x AS (SELECT c, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM x WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+best AS (SELECT near.word, other, w.n AS n, o.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN words w ON near.word = w.word JOIN words o ON other = o.word),
+forms AS (SELECT word, other AS form, form_n FROM best WHERE place = 1 AND form_n >= 5 * n),
+way AS (SELECT word, form AS here, 1 AS step FROM forms UNION ALL SELECT way.word, forms.form, step + 1 FROM way JOIN forms ON way.here = forms.word),
+ends AS (SELECT word, arg_max(here, step) AS root FROM way GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, words.n AS n, coalesce(n_near, 0) AS n_near, forms.form_n AS form_n
+FROM words LEFT JOIN (SELECT word, n_near FROM best WHERE place = 1) USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)""")
+def op11(spark, sf_dir):
+    """Words of all documents, their near words, and the frequent form that each may be a slip of."""
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query("op12_feistel_shards", f"""
 WITH RECURSIVE tab AS {CRC_TABLE},
 d AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::BIGINT AS row FROM documents),
