@@ -19,7 +19,7 @@ from crosswin.operators.scale import attach, ordinal, settle
 from crosswin.operators.series import densify, moving_average, previous, rebase
 
 BLOCK = 4096
-SHORT = 16384  # aligned series up to this length go through the shuffle test as one row
+NULL_BLOCK = 8192  # points of a block in the shuffle test
 RESET_SHARE = 0.20  # fixed value
 TIERS = ("strong", "high_corr_ambiguous", "accepted_weak", "rejected")
 
@@ -129,11 +129,12 @@ def align_on_lag(net: DataFrame, rad: DataFrame, lags: DataFrame) -> DataFrame:
     return net.withColumnRenamed("v", "x").join(moved, ["run_id", "t"]).select("run_id", "lag", "t", "x", "y")
 
 
-def lag_blocks(net: DataFrame, rad: DataFrame, plan: DataFrame, smooth: int, block: int) -> DataFrame:
-    """One row per (run, block): the network values of the block and all radio values that
-    any lag of the plan can bring there, as aligned position and value arrays.
+def lag_blocks(net: DataFrame, rad: DataFrame, bounds: DataFrame, smooth: int, block: int) -> DataFrame:
+    """One written row per (run, block): the network values of the block and all radio values that
+    any lag from lag_lo to lag_hi can bring there, as aligned position and value arrays.
 
-    ``plan``: run_id, n_net, n_rad, lag_lo, lag_hi and whatever else the moments need.
+    ``bounds`` (settled): run_id, n_net, lag_lo, lag_hi. This is the only pass that shuffles the
+    series; every sweep reads its rows.
     """
     back, ahead = (smooth // 2, (smooth - 1) // 2) if smooth > 1 else (0, 0)
     last = F.floor((F.col("n_net") - 1) / block)
@@ -143,7 +144,7 @@ def lag_blocks(net: DataFrame, rad: DataFrame, plan: DataFrame, smooth: int, blo
         lo, hi = F.greatest(F.floor(lo / block), zero), F.least(F.floor(hi / block), last)
         return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
 
-    bounds = plan.select("run_id", "n_net", "lag_lo", "lag_hi")
+    bounds = bounds.select("run_id", "n_net", "lag_lo", "lag_hi")
     x = attach(net, bounds, "run_id", "inner", settled=True)
     x = x.select("run_id", "t", "v", blocks(F.col("t") - ahead, F.col("t") + back).alias("b"), F.lit(0).alias("side"))
     y = attach(rad, bounds, "run_id", "inner", settled=True)
@@ -156,11 +157,10 @@ def lag_blocks(net: DataFrame, rad: DataFrame, plan: DataFrame, smooth: int, blo
     rows = x.unionByName(y).groupBy("run_id", "b").agg(
         F.collect_list(F.when(F.col("side") == 0, pack)).alias("_x"),
         F.collect_list(F.when(F.col("side") == 1, pack)).alias("_y"))
-    rows = rows.select(
+    return settle(rows.select(
         "run_id", "b",
         F.transform("_x", lambda e: e["t"]).alias("xt"), F.transform("_x", lambda e: e["v"]).alias("xv"),
-        F.transform("_y", lambda e: e["t"]).alias("yt"), F.transform("_y", lambda e: e["v"]).alias("yv"))
-    return attach(rows, plan, "run_id", "inner", settled=True)
+        F.transform("_y", lambda e: e["t"]).alias("yt"), F.transform("_y", lambda e: e["v"]).alias("yv")), "lag-blocks")
 
 
 MOMENTS = "run_id string, lag bigint, n bigint, sx double, sy double, sxx double, syy double, sxy double, " \
@@ -217,11 +217,17 @@ def block_moments(smooth: int, log1p: bool, block: int):
 
 
 def lag_correlation(
-    net: DataFrame, rad: DataFrame, plan: DataFrame, smooth: int = 3, log1p: bool = False, block: int = BLOCK
+    net: DataFrame, rad: DataFrame, plan: DataFrame, smooth: int = 3, log1p: bool = False, block: int = BLOCK,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Pearson correlation and overlap per (run, lag) of a settled plan; lags whose overlap is
-    too short are absent, undefined correlations are null."""
-    rows = lag_blocks(net, rad, plan, smooth, block)
+    too short are absent, undefined correlations are null.
+
+    ``plan``: run_id, n_net, n_rad, min_overlap, mx, my, lags, lag_lo, lag_hi. ``rows`` are blocks
+    of an earlier pass that reach as far as the plan's lags.
+    """
+    rows = lag_blocks(net, rad, plan, smooth, block) if rows is None else rows
+    rows = attach(rows, plan, "run_id", "inner", settled=True)
     parts = rows.mapInPandas(block_moments(smooth, log1p, block), MOMENTS)
     m = parts.groupBy("run_id", "lag").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
@@ -271,7 +277,9 @@ def search_best_lag(
     coarse_lags = F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"), F.lit(step).cast("bigint"))
     first = settle(plan.withColumns({
         "lags": coarse_lags, "lag_lo": F.lit(lo).cast("bigint"), "lag_hi": F.lit(hi).cast("bigint")}), "coarse-plan")
-    coarse = settle(lag_correlation(net, rad, first, smooth, log1p, block).withColumn("stage", F.lit(0)), "coarse")
+    reach = settle(plan.select("run_id", "n_net", F.lit(lo - fine_window).cast("bigint").alias("lag_lo"), F.lit(hi + fine_window).cast("bigint").alias("lag_hi")), "reach")
+    rows = lag_blocks(net, rad, reach, smooth, block)
+    coarse = settle(lag_correlation(net, rad, first, smooth, log1p, block, rows).withColumn("stage", F.lit(0)), "coarse")
     start = F.coalesce(F.col("best_lag"), F.lit(lo).cast("bigint"))
     fine_lags = F.filter(
         F.sequence(start - fine_window, start + fine_window),
@@ -279,7 +287,7 @@ def search_best_lag(
     second = plan.join(pick_best(coarse).select("run_id", "best_lag"), "run_id", "left").withColumns({
         "lags": fine_lags, "lag_lo": start - fine_window, "lag_hi": start + fine_window}).drop("best_lag")
     second = settle(second, "fine-plan")
-    fine = lag_correlation(net, rad, second, smooth, log1p, block).withColumn("stage", F.lit(1))
+    fine = lag_correlation(net, rad, second, smooth, log1p, block, rows).withColumn("stage", F.lit(1))
     return settle(coarse.unionByName(fine), "curves"), plan
 
 
@@ -344,50 +352,69 @@ def shift_list(n: Column, min_shift: Column, iters: int, seed: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(iters - 1)), one)
 
 
-def circular_shift_null(
-    aligned: DataFrame, runs: DataFrame, quantile: float, short: int = SHORT
-) -> DataFrame:
+def circular_shift_null(aligned: DataFrame, runs: DataFrame, quantile: float, block: int = NULL_BLOCK) -> DataFrame:
     """Quantile of the correlations between x and y rotated by each shift of the run.
 
-    ``runs`` (settled): run_id, n, shifts. Series up to ``short`` points travel as one row
-    and numpy does all rotations; longer ones are joined point by point on the rotated
-    position, keyed by (run, position), so that no run sits in one task.
+    ``runs`` (settled): run_id, n, shifts. ``aligned`` has positions i from 0 to n - 1. A rotation
+    by s is lag s, and lag s - n where it wraps around. Series are cut into blocks; a block of x meets
+    the one or two blocks of y that a shift brings to it, numpy adds up partial moments for the
+    shifts of each meeting, and Spark sums them per (run, shift). So one run is spread over many
+    tasks, whatever its length. A missing value (null or NaN) on either side leaves its pair out of
+    every rotation, at any length.
     """
-    small = attach(aligned, runs.where(F.col("n") <= short).select("run_id"), "run_id", "left_semi", settled=True)
-    rows = small.groupBy("run_id").agg(F.collect_list(F.struct("i", "x", "y")).alias("_p")).select(
-        "run_id",
-        F.transform("_p", lambda e: e["i"]).alias("i"),
-        F.transform("_p", lambda e: e["x"]).alias("x"),
-        F.transform("_p", lambda e: e["y"]).alias("y"))
-    rows = attach(rows, runs.select("run_id", "shifts"), "run_id", "inner", settled=True)
+    mine = attach(aligned, runs.select("run_id"), "run_id", "left_semi", settled=True)
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    mine = mine.select("run_id", "i", number("x").alias("x"), number("y").alias("y"))
+    plan = runs.join(mine.groupBy("run_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), "run_id")
+    plan = settle(plan.select("run_id", "n", "shifts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mx", "my")]), "null-plan")
+    rows = mine.groupBy("run_id", F.floor(F.col("i") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("_p"))
+    blocks = settle(rows.select("run_id", "b", "_p.i", "_p.x", "_p.y"), "null-blocks")
+
+    # which block of y each shift brings to each block of x
+    each = plan.select("run_id", "n", F.posexplode("shifts").alias("j", "s"))
+    each = each.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))))
+    first = F.pmod(F.col("b") * block - F.col("s"), F.col("n"))
+    each = each.withColumns({"first": first, "last": first + F.least(F.lit(block), F.col("n") - F.col("b") * block) - 1})
+    ahead = F.sequence(F.floor(F.col("first") / block), F.floor(F.least("last", F.col("n") - 1) / block))
+    wrapped = F.when(F.col("last") >= F.col("n"), F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last") - F.col("n")) / block)))
+    each = each.withColumn("yb", F.explode(F.array_distinct(F.concat(ahead, F.coalesce(wrapped, F.array().cast("array<bigint>"))))))
+    meets = each.groupBy("run_id", "b", "yb").agg(F.collect_list(F.struct("j", "s")).alias("_s"))  # at most ``iters`` shifts
+    meets = meets.select("run_id", "b", "yb", "_s.j", "_s.s")
+    met = blocks.select("run_id", "b", F.col("i").alias("xi"), "x").join(meets, ["run_id", "b"])
+    met = met.join(blocks.select("run_id", F.col("b").alias("yb"), F.col("i").alias("yi"), "y"), ["run_id", "yb"])
+    met = attach(met, plan.drop("shifts"), "run_id", "inner", settled=True)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def dense(at, values, start, end):
+            out = np.full(end - start, np.nan)
+            out[np.asarray(at, dtype=np.int64) - start] = np.asarray(values, dtype=float)
+            return out
 
-    def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                order = np.argsort(np.asarray(r.i))
-                x = np.asarray(r.x, dtype=float)[order]
-                y = np.asarray(r.y, dtype=float)[order]
-                if x.min() == x.max() or y.min() == y.max():
-                    out.append((r.run_id, 0, None))
-                    continue
-                u, w = x - x.mean(), y - y.mean()
-                scale = np.sqrt((u @ u) * (w @ w))
-                c = np.array([u @ np.roll(w, int(s)) for s in r.shifts]) / scale
-                out.append((r.run_id, c.size, float(np.quantile(c, quantile))))
-            yield pd.DataFrame(out, columns=["run_id", "n_null", "null_threshold"])
-
-    done = rows.mapInPandas(rotate, "run_id string, n_null bigint, null_threshold double")
-    long_runs = runs.where(F.col("n") > short)
-    x = attach(aligned.select("run_id", "i", "x"), long_runs, "run_id", "inner", settled=True)
-    x = x.select("run_id", "x", F.posexplode("shifts").alias("j", "s"), "i", "n").select(
-        "run_id", "x", "j", F.pmod(F.col("i") - F.col("s"), F.col("n")).alias("i"))
-    y = attach(aligned.select("run_id", "i", "y"), long_runs.select("run_id"), "run_id", "left_semi", settled=True)
-    corrs = x.join(y, ["run_id", "i"]).groupBy("run_id", "j").agg(corr_expr("x", "y").alias("c"))
+                (a, z), (c, e) = ((k * block, min((k + 1) * block, r.n)) for k in (r.b, r.yb))
+                x, y = dense(r.xi, r.x, a, z) - r.mx, dense(r.yi, r.y, c, e) - r.my
+                whole = not (np.isnan(x).any() or np.isnan(y).any())
+                for j, s in zip(r.j, r.s):
+                    for lag in (s, s - r.n):  # y of position p stands at p + lag
+                        lo, hi = max(a, c + lag), min(z, e + lag)
+                        if lo >= hi:
+                            continue
+                        u, w = x[lo - a:hi - a], y[lo - lag - c:hi - lag - c]
+                        if not whole:
+                            both = ~(np.isnan(u) | np.isnan(w))
+                            u, w = u[both], w[both]
+                        out.append((r.run_id, j, u.size, u.sum(), w.sum(), u @ u, w @ w, u @ w))
+            yield pd.DataFrame(out, columns=["run_id", "j", "m", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = met.mapInPandas(moments, "run_id string, j int, m bigint, sx double, sy double, sxx double, syy double, sxy double")
+    sums = parts.groupBy("run_id", "j").agg(*[F.sum(c).alias(c) for c in ("m", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = lambda q, t: F.sqrt(F.greatest(F.col(q) - F.col(t) * F.col(t) / F.col("m"), F.lit(0.0)))
+    corr = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("m"), spread("sxx", "sx") * spread("syy", "sy"))
+    corrs = sums.select("run_id", F.when(F.col("m") >= 3, corr).alias("c"))
     # at most ``iters`` values per run
-    rest = corrs.groupBy("run_id").agg(
-        F.count("c").alias("n_null"), F.percentile("c", F.lit(quantile)).alias("null_threshold"))
-    return done.unionByName(rest)
+    return corrs.groupBy("run_id").agg(F.count("c").alias("n_null"), F.percentile("c", F.lit(quantile)).alias("null_threshold"))
 
 
 def acceptance(
@@ -398,10 +425,15 @@ def acceptance(
     quantile: float = 0.99,
     min_half_corr: float = 0.0,
     seed: int = 1337,
-    short: int = SHORT,
+    block: int = NULL_BLOCK,
 ) -> DataFrame:
-    """Accept or reject the best lag of every run, with the reason."""
-    aligned = settle(aligned, "aligned")
+    """Accept or reject the best lag of every run, with the reason.
+
+    A null or NaN on either side takes its second out of all correlations; it still counts as a
+    position.
+    """
+    whole = ~(F.isnan("x") | F.isnan("y")) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    aligned = settle(aligned.withColumns({c: F.when(whole, F.col(c)) for c in ("x", "y")}), "aligned")
     n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
     tenth = F.when(F.col("overlap_seconds") > 0, F.floor(F.col("overlap_seconds") / 10)).otherwise(30)
     runs = best.join(aligned.groupBy("run_id").agg(F.count("*").alias("n")), "run_id", "left")
@@ -412,7 +444,7 @@ def acceptance(
         F.col("n") >= 2 * F.col("min_shift") + 10)
     test = settle(runs.where(testable).select(
         "run_id", "n", shift_list(F.col("n"), F.col("min_shift"), iters, seed).alias("shifts")), "shifts")
-    null = circular_shift_null(aligned, test, quantile, short)
+    null = circular_shift_null(aligned, test, quantile, block)
     j = runs.join(null, "run_id", "left")
     enough = F.coalesce(F.col("n_null"), F.lit(0)) >= max(20, iters // 4)
     thr = F.when(enough, F.col("null_threshold"))
@@ -461,13 +493,13 @@ def abs_offsets(results: DataFrame) -> DataFrame:
 def align_runs(net: DataFrame, rad: DataFrame, window: int = 1800, coarse_step: int = 10, fine_window: int = 120,
                min_overlap: int = 300, smooth: int = 3, log1p: bool = False, peak_exclusion: int = 10,
                iters: int = 200, quantile: float = 0.99, min_half_corr: float = 0.0, seed: int = 1337,
-               block: int = BLOCK, short: int = SHORT) -> DataFrame:
+               block: int = BLOCK, null_block: int = NULL_BLOCK) -> DataFrame:
     """Lag search, acceptance test and notes for all runs of two dense series."""
     net, rad = settle(net, "net-series"), settle(rad, "rad-series")
     curves, plan = search_best_lag(net, rad, window, coarse_step, fine_window, min_overlap, smooth, log1p, block)
     best = best_lag(curves, plan, window, peak_exclusion)
     aligned = aligned_values(net, rad, best, smooth, log1p)
-    results = acceptance(aligned, best, min_overlap, iters, quantile, min_half_corr, seed, short)
+    results = acceptance(aligned, best, min_overlap, iters, quantile, min_half_corr, seed, null_block)
     return alignment_notes(results, min_overlap)
 
 

@@ -231,9 +231,9 @@ def _once(sql: str) -> str:
 BEST_SQL, ACC_SQL = _once(BEST_SQL), _once(ACC_SQL)
 
 
-def results(spark, d, short: int = al.SHORT):
+def results(spark, d, block: int = al.NULL_BLOCK):
     net, rad = dense_pair(spark, d)
-    r = al.align_runs(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH, False, EXCL, ITERS, QUANT, 0.0, SEED, short=short)
+    r = al.align_runs(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH, False, EXCL, ITERS, QUANT, 0.0, SEED, null_block=block)
     uid = F.col("run_id").cast("bigint")
     return r.withColumns({
         "family": b.family_of(uid), "time_mode": F.when(uid % 3 == 0, "implicit").otherwise("timestamp")})
@@ -251,7 +251,7 @@ def _align_runs(spark, d):
 @query("circular_shift_null_long", "W5", f"""WITH {ACC_SQL}
 SELECT run_id, {sql_r4('thr')} AS null_threshold, reason FROM tiers""")
 def _circular_shift_null_long(spark, d):
-    return rounded(results(spark, d, short=0).select("run_id", "null_threshold", "reason"))
+    return rounded(results(spark, d, block=64).select("run_id", "null_threshold", "reason"))
 
 
 @query("abs_offsets", "P18", f"""WITH {BEST_SQL}
