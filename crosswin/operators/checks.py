@@ -91,9 +91,49 @@ def processed_violations(processed: DataFrame, features: list[str]) -> DataFrame
     return broken_rules(processed, KEYS, rules)
 
 
-def feature_fingerprint(names: list[str]) -> Column:
-    """Hash of a feature list, order included."""
-    return F.sha2(F.lit("\n".join(names)), 256)
+def feature_list_violations(parts: dict[str, DataFrame], skip: list[str]) -> DataFrame:
+    """(part, feature, rule): how the columns of each part differ from those of the first one.
+
+    ``missing`` and ``extra`` name single features; ``order`` names the first one out of place
+    where the sets are equal. Schemas only, no rows are read.
+    """
+    lists = {name: [c for c in df.columns if c not in skip] for name, df in parts.items()}
+    (_, wanted), *others = lists.items()
+    found = []
+    for name, have in others:
+        found += [(name, c, "missing") for c in wanted if c not in have] + [(name, c, "extra") for c in have if c not in wanted]
+        if sorted(have) == sorted(wanted) and have != wanted:
+            found.append((name, next(w for w, h in zip(wanted, have) if w != h), "order"))
+    spark = next(iter(parts.values())).sparkSession
+    return spark.createDataFrame(found, "part string, feature string, rule string")
+
+
+def forbidden_columns(table: DataFrame, word: str) -> DataFrame:
+    """(column, n): columns with ``word`` as a whole part of their name, and the table's rows."""
+    named = [c for c in table.columns if word in c.lower().split("_")]
+    return table.groupBy().agg(F.count("*").alias("n")).where("n > 0").select(
+        F.explode(F.array(*[F.lit(c) for c in named]).cast("array<string>")).alias("column"), "n")
+
+
+def content_digests(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Per key and column: rows, sum and xor of value hashes (column, n, hash_sum, hash_xor).
+
+    The digest does not depend on the rows' order or layout, digests of two disjoint tables add up
+    to that of their union, and equal rows count as often as they occur.
+    """
+    def one(c: str) -> Column:
+        text = F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("null")))
+        return F.struct(F.lit(c).alias("column"), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("h"))
+
+    return rows.select(*keys, F.inline(F.array(*[one(c) for c in columns]))).groupBy(*keys, "column").agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
+
+
+def digest_differences(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """(column, keys) whose digests differ or that only one side has."""
+    on = ["column", *keys]
+    facts = lambda df, side: df.select(*on, F.struct("n", "hash_sum", "hash_xor").alias(side))
+    return facts(stored, "a").join(facts(fresh, "b"), on, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*on)
 
 
 def not_finite_counts(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -1,15 +1,16 @@
 """Run-level splits and folds. A run is never divided.
 
 Shuffles are seeded by md5(run | seed), so every engine gives the same order. Rankings over
-runs use the prefix-sum helper. The two greedy packings are sequential by definition: each
-choice depends on the loads so far. They read their runs as a sorted stream and keep only the
-loads in memory.
+runs use the prefix-sum helper. Folds are packed from the histogram of run sizes. The stratified
+split is sequential by definition, since each choice depends on the budgets left: it reads the
+runs it is open for as a sorted stream and keeps only two counts in memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -214,6 +215,13 @@ def split_class_presence(splits: DataFrame) -> DataFrame:
     return g.withColumn("ok", F.col("has_benign") & F.col("has_attack"))
 
 
+def family_gaps(splits: DataFrame) -> DataFrame:
+    """(split_name, family, part) of parts that lack a family of the split."""
+    have = splits.groupBy("split_name", "family").agg(F.collect_set("part").alias("_have"))  # three parts at most
+    every = F.array(*[F.lit(p) for p in PARTS])
+    return have.select("split_name", "family", F.explode(F.array_except(every, F.col("_have"))).alias("part"))
+
+
 # ---- folds -------------------------------------------------------------------------------
 
 
@@ -246,29 +254,72 @@ def fold_count(labelled: DataFrame, label: str, n_splits: int) -> int:
     return k
 
 
-def _pack_folds(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give each run of one class, largest first, to the fold with the fewest rows."""
-    loads: list[int] = []
-    for pdf in batches:
-        out = []
-        for n, k in zip(pdf["rows"], pdf["k"]):
-            loads = loads or [0] * int(k)
-            f = loads.index(min(loads))
-            loads[f] += int(n)
-            out.append(f)
-        yield pdf[["run_id", "label", "rows"]].assign(fold=out)
+def dealt(loads: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fold, level) of the place-th (from 0) of equal runs dealt to the least loaded fold.
+
+    Row i has the folds' loads before its group, the size of the group's runs, and a place in it.
+    Fold f takes runs when its load is loads[f], loads[f] + size, ...; the choices are these levels
+    merged in order, the lower fold first on ties. So the place is found by a search for its level.
+    """
+    def below(level: np.ndarray) -> np.ndarray:
+        return np.maximum(0, -(-(level[:, None] - loads) // size[:, None]))
+
+    low = loads.min(axis=1)
+    high = low + (place + 1) * size  # the least loaded fold alone has more than ``place`` levels below
+    while (open_ := high - low > 1).any():
+        middle = (low + high) // 2
+        enough = below(middle).sum(axis=1) <= place
+        low = np.where(open_ & enough, middle, low)
+        high = np.where(open_ & ~enough, middle, high)
+    at_level = (low[:, None] >= loads) & ((low[:, None] - loads) % size[:, None] == 0)
+    nth = place - below(low).sum(axis=1)
+    fold = np.argmax(np.cumsum(at_level, axis=1) > nth[:, None], axis=1)
+    return fold, low
+
+
+def loads_after(loads: np.ndarray, size: int, count: int) -> np.ndarray:
+    """Loads once ``count`` runs of one size were dealt."""
+    fold, level = dealt(loads[None, :], np.array([size]), np.array([count - 1]))
+    upto = np.arange(len(loads)) <= fold[0]
+    given = np.maximum(0, -(-(level[0] - loads) // size)) + ((level[0] >= loads) & ((level[0] - loads) % size == 0) & upto)
+    return loads + given * size
 
 
 def run_folds_binary(rows: DataFrame, n_splits: int, seed: int, benign: str = BENIGN) -> DataFrame:
-    """Row-balanced folds of runs: (run_id, label, rows, fold)."""
+    """Row-balanced folds of runs: (run_id, label, rows, fold).
+
+    Each class is dealt largest run first, equal ones in seeded order, to the fold with the fewest
+    rows so far. What a run gets depends only on the runs' sizes and its place among equals: the
+    histogram of sizes is walked once with k loads per class, and every run's fold follows in closed
+    form. The histogram has as many rows as there are different sizes; no task holds a class.
+    """
     labelled = settle(run_labels(rows, benign), "run-labels")
     k = fold_count(labelled, "label", n_splits)
-    ordered = (
-        labelled.withColumns({"k": F.lit(k), "_h": order_hash("run_id", seed)})
-        .repartition("label")
-        .sortWithinPartitions("label", F.col("rows").desc(), "_h", "run_id")
-    )
-    return ordered.groupBy("label").applyInPandas(_pack_folds, "run_id string, label int, rows bigint, fold int")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            before = []
+            for label, size, n in zip(pdf["label"], pdf["rows"], pdf["n"]):
+                loads = now.setdefault(label, np.zeros(k, np.int64))
+                before.append(loads.tolist())
+                now[label] = loads_after(loads, int(size), int(n))
+            yield pdf[["label", "rows"]].assign(loads=before)
+
+    sizes = labelled.groupBy("label", "rows").agg(F.count("*").alias("n"))
+    sizes = sizes.repartition("label").sortWithinPartitions("label", F.col("rows").desc())
+    states = sizes.mapInPandas(walk, "label int, rows bigint, loads array<bigint>")
+    each = labelled.withColumns({"_h": order_hash("run_id", seed), "_one": F.lit(1).cast("bigint")})
+    ranked = running_totals(each, ["label", "rows"], ["_h", "run_id"], {"_rank": "_one"})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                fold, _ = dealt(np.stack(pdf["loads"].to_list()).astype(np.int64), pdf["rows"].to_numpy(), pdf["_rank"].to_numpy() - 1)
+                yield pdf[["run_id", "label", "rows"]].assign(fold=fold.astype(np.int32))
+
+    placed = attach(ranked.select("run_id", "label", "rows", "_rank"), states, ["label", "rows"], "inner")
+    return placed.mapInPandas(place, "run_id string, label int, rows bigint, fold int")
 
 
 def run_folds_multiclass(rows: DataFrame, n_splits: int, seed: int) -> DataFrame:

@@ -68,10 +68,55 @@ def _check_processed(spark, d):
     return ck.processed_violations(s, ["p_net", "p_rad"])
 
 
-@query("feature_fingerprint", "V3", """SELECT sha256('a' || chr(10) || 'b') AS fingerprint, count(*) AS n FROM part""")
+@query("feature_fingerprint", "V3", f"""WITH {qf.FRAME_SQL},
+c AS (SELECT part, unnest([struct_pack(c := 'kind', v := kind), struct_pack(c := 'size', v := CAST(CAST(size AS BIGINT) AS VARCHAR)), struct_pack(c := 'word', v := word)]) AS e FROM f),
+h AS (SELECT part, e.c AS "column", CAST('0x' || substr(md5(e.c || '=' || coalesce('v' || e.v, 'null')), 1, 15) AS BIGINT) AS h FROM c)
+SELECT part, "column", count(*) AS n, sum(h)::VARCHAR AS hash_sum, bit_xor(h) AS hash_xor FROM h GROUP BY 1, 2""")
 def _feature_fingerprint(spark, d):
-    return b.table(spark, d, "part").agg(F.count("*").alias("n")).select(
-        ck.feature_fingerprint(["a", "b"]).alias("fingerprint"), "n")
+    f = qf.frame(spark, d).withColumn("size", F.col("size").cast("bigint"))
+    # the same rows in another order and layout have the same digests
+    shuffled = f.repartition(5, "p_partkey").orderBy(F.col("price").desc())
+    return rounded(ck.content_digests(shuffled, ["part"], ["kind", "size", "word"])).withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+@query("feature_lists", "V3", """
+SELECT part, feature, rule FROM (VALUES ('test', 'price', 'missing'), ('test', 'weight', 'extra'), ('val', 'size', 'order')) v(part, feature, rule)
+WHERE EXISTS (SELECT * FROM part)""")
+def _feature_lists(spark, d):
+    f = b.table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    parts = {"train": f, "val": f.select("p_partkey", "price", "size"), "test": f.drop("price").withColumn("weight", F.col("size"))}
+    listed = ck.feature_list_violations(parts, skip=["p_partkey"])
+    return listed.join(f.limit(1).select("p_partkey"), how="cross").drop("p_partkey")
+
+
+@query("content_differences", "V3", f"""WITH {qf.FRAME_SQL}
+SELECT unnest(['kind', 'size']) AS "column", part FROM f WHERE p_partkey % 97 = 5 AND part <> 'train' GROUP BY part""")
+def _content_differences(spark, d):
+    """Stored and fresh processed tables whose parts differ in some columns."""
+    f = qf.frame(spark, d).select("p_partkey", "part", "kind", "size", "word")
+    hit = (F.col("p_partkey") % 97 == 5) & (F.col("part") != "train")
+    changed = f.withColumns({"kind": F.when(hit, F.upper(F.concat("kind", F.lit("x")))).otherwise(F.col("kind")), "size": F.when(hit, F.col("size") + 1).otherwise(F.col("size"))})
+    columns = ["p_partkey", "kind", "size", "word"]
+    return ck.digest_differences(ck.content_digests(f, ["part"], columns), ck.content_digests(changed, ["part"], columns), ["part"])
+
+
+@query("pmi_columns", "V1", f"""WITH {qr.SEC_SQL}
+SELECT unnest(['pmi_mean', 'ul_pmi']) AS "column", count(*) AS n FROM rsec HAVING count(*) > 0""")
+def _pmi_columns(spark, d):
+    sec = qr.radio.radio_seconds(qr.records(spark, d), qr.KPIS)
+    return ck.forbidden_columns(sec.withColumns({"pmi_mean": F.col("rate_total"), "ul_pmi": F.lit(1), "pmid": F.lit(2)}), "pmi")
+
+
+@query("family_coverage", "V2", f"""WITH RECURSIVE {ql.STRAT_SQL}
+SELECT DISTINCT split_name, family, part FROM strat WHERE part <> 'val' AND family = (SELECT min(family) FROM strat WHERE family <> 'Benign')
+UNION ALL SELECT s.split_name, s.family, p.part FROM (SELECT DISTINCT split_name, family FROM strat) s, (SELECT unnest(['train', 'val', 'test']) AS part) p
+WHERE NOT EXISTS (SELECT * FROM strat x WHERE x.split_name = s.split_name AND x.family = s.family AND x.part = p.part)""")
+def _family_coverage(spark, d):
+    s = settle(ql.stratified(spark, d), "strat")
+    hit = s.where("family <> 'Benign'").agg(F.min("family").alias("f")).first()["f"]
+    # one family is moved to val as a whole
+    moved = s.withColumn("part", F.when(F.col("family") == hit, "val").otherwise(F.col("part")))
+    return sp.family_gaps(moved)
 
 
 @query("check_metrics_finite", "V4", f"""WITH {b.METRICS_SQL} SELECT 'ttd_median' AS "column", count(*) AS bad FROM mrows WHERE ttd_median IS NULL HAVING count(*) > 0""")
@@ -183,12 +228,14 @@ def _check_splits(spark, d):
 
 
 @query("write_stage", "K1 K2", f"""WITH {qn.WIN_SQL}
-SELECT CAST(10 AS BIGINT) AS "W", CAST(2 AS BIGINT) AS "S", run_id, count(*) AS n FROM grid GROUP BY run_id""")
+SELECT CAST(10 AS BIGINT) AS "W", CAST(2 AS BIGINT) AS "S", run_id, count(*) AS n FROM grid GROUP BY run_id
+UNION ALL SELECT 5, 2, run_id, CAST(floor((run_end_s - 5) / 2) AS BIGINT) + 1 FROM spans WHERE run_end_s >= 5""")
 def _write_stage(spark, d):
     path = fresh(spark, "index")
-    w = qn.windows(spark, d)
+    w = settle(qn.net.window_index(qn.windows(spark, d)), "windows")
     sinks.write_window_index(w, path, 10, 2)
-    sinks.write_window_index(w.limit(0), path, 10, 2)  # exists, so this one is left out
+    sinks.write_window_index(qn.windows(spark, d, 5, 2), path, 5, 2)  # a second setting in the same path
+    sinks.write_window_index(w.unionByName(w), path, 10, 2)  # exists, so this one is left out
     return rounded(spark.read.parquet(path).groupBy("W", "S", "run_id").agg(F.count("*").alias("n")))
 
 

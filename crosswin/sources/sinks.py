@@ -5,19 +5,38 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crosswin.functions.expr import class_column_names
 from crosswin.operators.network import window_index
+from crosswin.operators.scale import settle
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, force: bool = False) -> None:
-    """Parquet, left alone if it exists unless forced; forced writes replace only the
-    partitions they hold."""
-    w = df.write.mode("overwrite" if force else "ignore")
-    if partition_by:
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    w.parquet(path)
+    """Parquet; what exists is left alone unless forced.
+
+    With partitions this holds for each of them: rows of partitions that the path has already are
+    left out, others are added, and a forced write replaces only the partitions it holds.
+    """
+    if not partition_by:
+        df.write.mode("overwrite" if force else "ignore").parquet(path)
+        return
+    if force:
+        df.write.mode("overwrite").partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
+        return
+    if path_exists(df.sparkSession, path):
+        # partition values only, one row each; written first, since the path is about to change
+        have = settle(df.sparkSession.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in partition_by]).distinct(), "partitions")
+        same = F.lit(True)
+        for c in partition_by:
+            same = same & df[c].cast("string").eqNullSafe(have[c])
+        df = df.join(F.broadcast(have), same, "left_anti")
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_window_index(windows: DataFrame, path: str, W: int, S: int, force: bool = False) -> None:

@@ -59,18 +59,43 @@ def test_acceptance_reasons(spark):
     net = series_of(spark, {"good": x, "noise": x, "tiny": x[:2], "short": x[:25]})
     rad = series_of(spark, {"good": x + rng.normal(0, 0.1, 200), "noise": rng.gamma(2, 10, 200), "tiny": x[:2], "short": x[:25]})
     reasons = {}
-    for short in (al.SHORT, 0):  # whole rows, and the point-by-point join
-        r = al.align_runs(net, rad, 10, 2, 2, 20, 1, False, 3, 60, 0.99, 0.0, short=short)
+    for block in (al.NULL_BLOCK, 37):  # runs of one block and of several
+        r = al.align_runs(net, rad, 10, 2, 2, 20, 1, False, 3, 60, 0.99, 0.0, null_block=block)
         rows = {q["run_id"]: q for q in r.collect()}
-        reasons[short] = {k: (v["reason"], round(v["null_threshold"] or 0, 9)) for k, v in rows.items()}
-    assert reasons[al.SHORT] == reasons[0]
-    got = {k: v[0] for k, v in reasons[0].items()}
+        reasons[block] = {k: (v["reason"], round(v["null_threshold"] or 0, 9)) for k, v in rows.items()}
+    assert reasons[al.NULL_BLOCK] == reasons[37]
+    got = {k: v[0] for k, v in reasons[37].items()}
     assert got["good"] == "accepted" and got["tiny"] == "no_overlap_for_best_lag" and got["short"] == "too_short"
     assert got["noise"] in ("below_null_threshold", "unstable_halves", "accepted")
     tiers = {q["run_id"]: q["tier"] for q in al.assign_tiers(r).collect()}
     assert tiers["good"] == "strong" and tiers["tiny"] == "rejected"
 
 
+def test_rotations_leave_out_missing_values(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.gamma(2, 10, 150), rng.gamma(2, 10, 150)
+    x[[3, 70]], y[[5, 149]] = np.nan, np.nan
+    shifts = [11, 40, 75, 139, 40]
+    rows = [("gaps", i, None if i == 70 else float(x[i]), float(y[i])) for i in range(150)]
+    rows += [("whole", i, float(i % 7), float(i % 5)) for i in range(150)]
+    aligned = spark.createDataFrame(rows, "run_id string, i long, x double, y double")
+    runs = spark.createDataFrame([("gaps", 150, shifts), ("whole", 150, shifts)], "run_id string, n long, shifts array<bigint>")
+
+    def brute(x, y):
+        out = []
+        for s in shifts:
+            w = np.roll(y, s)
+            ok = ~(np.isnan(x) | np.isnan(w))
+            out.append(np.corrcoef(x[ok], w[ok])[0, 1])
+        return np.quantile(out, 0.9)
+
+    want = {"gaps": brute(x, y), "whole": brute(np.arange(150) % 7.0, np.arange(150) % 5.0)}
+    for block in (8192, 150, 64, 7):
+        got = {r.run_id: (r.n_null, r.null_threshold) for r in al.circular_shift_null(aligned, runs, 0.9, block).collect()}
+        assert {k: n for k, (n, _) in got.items()} == {"gaps": 5, "whole": 5}
+        assert all(got[k][1] == pytest.approx(want[k], abs=1e-9) for k in want), block
+
+
 def test_tcp_alias(spark):
     paths = spark.createDataFrame([
         ("F", "network", "/n/X.pcap"), ("F", "radio", "/r/tcp-X.txt"), ("F", "network", "/n/tcp_Y.pcap"),
@@ -215,3 +240,34 @@ def test_config_and_search_space():
     draws = md.sample_params({"C": (0.1, 10.0, "log"), "n": (1, 3), "s": ["a", "b"]}, 20, 1)
     assert draws == md.sample_params({"C": (0.1, 10.0, "log"), "n": (1, 3), "s": ["a", "b"]}, 20, 1)
     assert all(0.1 <= p["C"] <= 10 and p["n"] in (1, 2, 3) for p in draws)
+
+
+def test_dealing_in_closed_form_equals_the_greedy_loop():
+    from crosswin.operators.splits import dealt, loads_after
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        k, size, count = int(rng.integers(2, 7)), int(rng.integers(1, 12)), int(rng.integers(1, 60))
+        loads = rng.integers(0, 50, k) * rng.integers(0, 2, k)
+        now, want = loads.copy(), []
+        for _ in range(count):
+            f = int(np.argmin(now))
+            now[f] += size
+            want.append(f)
+        got, _ = dealt(np.tile(loads, (count, 1)), np.full(count, size), np.arange(count))
+        assert got.tolist() == want and loads_after(loads, size, count).tolist() == now.tolist()
+
+
+def test_stages_keep_existing_partitions(spark, tmp_path):
+    from crosswin.sources import sinks
+
+    path = str(tmp_path / "stage")
+    rows = lambda *r: spark.createDataFrame(list(r), "W int, S int, v int")
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("W", "S", "v").collect())
+    sinks.write_stage(rows((10, 2, 1), (10, 2, 2)), path, ["W", "S"])
+    sinks.write_stage(rows((5, 2, 3), (10, 2, 9)), path, ["W", "S"])
+    assert read() == [(5, 2, 3), (10, 2, 1), (10, 2, 2)]
+    sinks.write_stage(rows((10, 2, 7)), path, ["W", "S"], force=True)
+    sinks.write_stage(rows((None, 2, 8)), path, ["W", "S"])
+    sinks.write_stage(rows((None, 2, 9)), path, ["W", "S"])
+    assert sorted(read(), key=str) == sorted([(5, 2, 3), (10, 2, 7), (None, 2, 8)], key=str)
