@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from crosswin.functions.expr import norm, to_double
 from crosswin.operators.network import require
-from crosswin.operators.scale import attach, exact_quantiles, ordinal, settle
+from crosswin.operators.scale import attach, exact_quantiles, ordinal, running_totals, settle
 
 # fixed values
 META = ("run_id", "family", "window_start_s", "window_end_s")
@@ -187,11 +187,97 @@ def fit_transform(train: DataFrame, numeric: list[str], categorical: list[str])
     return Transform(plain, log, stats, categories, modes)
 
 
-def fit_all_splits(windows: DataFrame, modality: str, numeric: list[str], categorical: list[str]) -> dict[str, Transform]:
-    """One fitted transform per split name of rows that carry (split_name, part)."""
-    names = [r["split_name"] for r in windows.select("split_name").distinct().toLocalIterator()]  # a few names
-    return {n: fit_transform(windows.where((F.col("split_name") == n) & (F.col("part") == "train")), numeric, categorical)
-            for n in sorted(names)}
+@dataclass
+class SplitTransforms:
+    """Fitted transforms of all splits as tables; nothing of them is on the driver.
+
+    ``numbers``: split_name, medians, logs, means, divisors (arrays in column order), n_features.
+    ``dictionary``: split_name, column, value, index of every category of the train rows.
+    ``modes``: split_name, column, mode.
+    """
+
+    numeric: list[str]
+    categorical: list[str]
+    numbers: DataFrame
+    dictionary: DataFrame
+    modes: DataFrame
+
+    def names(self) -> DataFrame:
+        """(split_name, index, feature): what stands at each place of the vectors."""
+        labels = F.transform(F.sequence(F.lit(1), F.lit(len(self.numeric))), lambda i: F.element_at(F.array(*[F.lit(c) for c in self.numeric]), i))
+        at = F.posexplode(F.zip_with(labels, "logs", lambda c, log: F.concat(c, F.when(log, "__log1p").otherwise("")))).alias("index", "feature")
+        of_categories = self.dictionary.select("split_name", "index", F.concat_ws("_", "column", "value").alias("feature"))
+        if not self.numeric:
+            return of_categories
+        return self.numbers.select("split_name", at).select("split_name", F.col("index").cast("bigint").alias("index"), "feature").unionByName(of_categories)
+
+    def apply(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Rows (with split_name) as sparse vectors: ``keep``, n_features, indices, values.
+
+        Numbers come first, then one entry for each categorical column whose value train knows.
+        """
+        x = attach(rows, self.numbers, "split_name", "inner", settled=True)
+        values = F.array(*[to_double(c) for c in self.numeric]).cast("array<double>")
+        facts = F.arrays_zip(values.alias("v"), "medians", "logs", "means", "divisors")
+
+        def one(e: Column) -> Column:
+            v = F.coalesce(e["v"], e["medians"])
+            return (F.when(e["logs"], F.log1p(F.greatest(v, F.lit(0.0)))).otherwise(v) - e["means"]) / e["divisors"]
+
+        x = x.withColumn("_values", F.transform(facts, one) if self.numeric else F.array().cast("array<double>"))
+        for i, c in enumerate(self.categorical):
+            mode = self.modes.where(F.col("column") == c).select("split_name", F.col("mode").alias("_mode"))
+            known = self.dictionary.where(F.col("column") == c).select("split_name", F.col("value").alias("_value"), F.col("index").alias(f"_at{i}"))
+            x = attach(x, mode, "split_name").withColumn("_value", F.coalesce(F.col(c).cast("string"), F.col("_mode")))
+            x = attach(x, known, ["split_name", "_value"]).drop("_mode", "_value")
+        at = F.array_compact(F.array(*[F.col(f"_at{i}") for i in range(len(self.categorical))])).cast("array<bigint>")
+        x = x.withColumn("_at", F.array_sort(at))
+        places = F.concat(F.sequence(F.lit(0), F.lit(len(self.numeric) - 1)).cast("array<bigint>") if self.numeric else F.array().cast("array<bigint>"), F.col("_at"))
+        return x.select(
+            *keep, "n_features", places.alias("indices"), F.concat("_values", F.transform("_at", lambda i: F.lit(1.0))).alias("values"))
+
+
+def fit_all_splits(rows: DataFrame, numeric: list[str], categorical: list[str]) -> SplitTransforms:
+    """Fit every split in one pass over rows tagged with (split_name, part); train rows decide.
+
+    Ranges, medians, means and spreads are aggregates by split; categories are rows of a
+    dictionary with a running number, however many there are.
+    """
+    train = settle(rows.where("part = 'train'").select("split_name", *numeric, *categorical), "train")
+    array = lambda columns: F.array(*columns).cast("array<double>")
+    splits = train.select("split_name").distinct()
+    if numeric:
+        spans = train.groupBy("split_name").agg(
+            array([F.min(to_double(c)) for c in numeric]).alias("_lo"), array([F.max(to_double(c)) for c in numeric]).alias("_hi"))
+        medians = column_medians(train, numeric, ["split_name"]).groupBy("split_name").agg(
+            array([F.coalesce(F.max(F.when(F.col("column") == c, F.col("median"))), F.lit(0.0)) for c in numeric]).alias("medians"))
+        logs = F.zip_with("_lo", "_hi", lambda lo, hi: F.coalesce((lo >= 0.0) & (hi > 10.0), F.lit(False))).alias("logs")
+        base = settle(spans.join(medians, "split_name").select("split_name", "medians", logs), "split-medians")
+        x = attach(train, base, "split_name", settled=True)
+        filled = []
+        for i, c in enumerate(numeric):
+            v = F.coalesce(to_double(c), F.col("medians")[i])
+            filled.append(F.when(F.col("logs")[i], F.log1p(F.greatest(v, F.lit(0.0)))).otherwise(v))
+        spread = x.groupBy("split_name").agg(
+            array([F.avg(v) for v in filled]).alias("means"),
+            array([F.when(F.stddev_pop(v) > 0, F.stddev_pop(v)).otherwise(1.0) for v in filled]).alias("divisors"))
+        numbers = base.join(spread, "split_name")
+    else:
+        none = F.array()
+        numbers = splits.select("split_name", *[none.cast("array<double>").alias(c) for c in ("medians", "means", "divisors")], none.cast("array<boolean>").alias("logs"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(categorical)])
+    if categorical:
+        counts = train.select("split_name", F.inline(pairs)).where("value is not null").groupBy("split_name", "place", "column", "value").agg(F.count("*").alias("n"))
+    else:
+        counts = splits.select("split_name", F.lit(0).alias("place"), F.lit("").alias("column"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("n")).where("false")
+    counts = settle(counts, "categories")
+    modes = settle(counts.groupBy("split_name", "column").agg(F.min(F.struct((-F.col("n")).alias("less"), "value"))["value"].alias("mode")), "modes")
+    numbered = running_totals(counts.withColumn("_one", F.lit(1).cast("bigint")), ["split_name"], ["place", "value"], {"_rank": "_one"})
+    dictionary = settle(numbered.select("split_name", "column", "value", (F.col("_rank") - 1 + len(numeric)).alias("index")), "dictionary")
+    sizes = dictionary.groupBy("split_name").agg(F.count("*").alias("_n"))
+    numbers = settle(numbers.join(sizes, "split_name", "left").select(
+        "split_name", "medians", "logs", "means", "divisors", (F.coalesce("_n", F.lit(0)) + len(numeric)).cast("bigint").alias("n_features")), "numbers")
+    return SplitTransforms(numeric, categorical, numbers, dictionary, modes)
 
 
 def part_summary(rows: DataFrame) -> DataFrame:

@@ -63,9 +63,13 @@ def calibration_error(rows: DataFrame, keys: list[str], score: str = "score", la
         (F.sum(F.col("_n") * F.abs(F.col("_acc") - F.col("_conf"))) / F.sum("_n")).alias("ece"))
 
 
-def binary_metrics(rows: DataFrame, keys: list[str], score: str = "score", label: str = "y_bin") -> DataFrame:
-    """n, pos_rate, roc_auc, pr_auc, brier, log_loss, ece, pr_lift and pr_ratio per group."""
-    rows = settle(rows.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).alias("y_bin")), "scored")
+def binary_metrics(rows: DataFrame, keys: list[str], score: str = "score", label: str = "y_bin", settled: bool = False) -> DataFrame:
+    """n, pos_rate, roc_auc, pr_auc, brier, log_loss, ece, pr_lift and pr_ratio per group.
+
+    ``settled`` rows come from a written table and are read again instead of being written.
+    """
+    rows = rows.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).alias("y_bin"))
+    rows = rows if settled else settle(rows, "scored")
     p, y = metric_score("score"), F.col("y_bin").cast("double")
     clipped = F.least(F.greatest(p, F.lit(LOG_CLIP)), F.lit(1.0 - LOG_CLIP))
     base = rows.groupBy(*keys).agg(

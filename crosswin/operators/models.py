@@ -209,14 +209,15 @@ def score_systems(
 
 def evaluate_all(
     predictions: DataFrame, onsets: DataFrame, policies: list[str], fpr_targets: list[float], keys: tuple[str, ...] = ("system",),
+    settled: bool = False,
 ) -> dict[str, DataFrame]:
-    """Metric tables of one prediction table: ``binary``, ``operating`` and ``ttd``.
+    """Metric tables of one prediction table (``settled`` if it is written): ``binary``, ``operating``, ``ttd``.
 
     Thresholds come from train rows; val and test rows are reported. Time to detect has one
     row per onset definition plus one for their difference.
     """
     k = list(keys)
-    predictions = settle(predictions, "predictions")
+    predictions = predictions if settled else settle(predictions, "predictions")
     train = td.onset_lookup(predictions.where("part = 'train'"), onsets)
     thresholds = settle(mt.benign_thresholds(train, k, policies, fpr_targets), "thresholds")
     shown = predictions.where("part in ('val', 'test')")
@@ -229,7 +230,7 @@ def evaluate_all(
     ttd = td.summarize_ttd(flow, g).withColumn("ttd_mode", F.lit("flow_onset")).unionByName(
         td.summarize_ttd(window, g).withColumn("ttd_mode", F.lit("window_onset")))
     return {
-        "binary": mt.binary_metrics(shown, [*k, "part"]),
+        "binary": mt.binary_metrics(shown, [*k, "part"], settled=True),
         "operating": mt.operating_points(shown, thresholds, k, ["part"]),
         "ttd": ttd.unionByName(delta, allowMissingColumns=True),
     }

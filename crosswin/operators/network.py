@@ -66,18 +66,32 @@ def relative_time(flows: DataFrame) -> DataFrame:
     return attach(timed, start, "run_id").withColumn("t_rel_s", F.col("flow_start_ts") - F.col("_t0")).drop("_t0")
 
 
-def run_spans(flows: DataFrame, W: int, S: int) -> DataFrame:
-    """Per run: flow count, run end, last window start (-1 without windows), first attack."""
+def span_aggs(flows: DataFrame) -> list[Column]:
+    """family, n_flows_total, run_end_s and t_first_attack_flow_s of a group of flows."""
     end = F.col("t_rel_s")
     if "flow_duration" in flows.columns:
         end = end + F.greatest(F.coalesce(to_double("flow_duration"), F.lit(0.0)), F.lit(0.0))
-    attack = is_attack(flows, "traffic_type")
-    spans = flows.groupBy("run_id").agg(
+    return [
         F.min("family").alias("family"),
         F.count("*").alias("n_flows_total"),
         F.max(end).alias("run_end_s"),
-        F.min(F.when(attack, F.col("t_rel_s"))).alias("t_first_attack_flow_s"),
-    )
+        F.min(F.when(is_attack(flows, "traffic_type"), F.col("t_rel_s"))).alias("t_first_attack_flow_s"),
+    ]
+
+
+def run_spans(flows: DataFrame, W: int, S: int) -> DataFrame:
+    """Per run: flow count, run end, last window start (-1 without windows), first attack."""
+    return last_starts(flows.groupBy("run_id").agg(*span_aggs(flows)), W, S)
+
+
+def spans_of_panes(panes: DataFrame, W: int, S: int) -> DataFrame:
+    """The same facts of the runs from the state of their panes."""
+    return last_starts(panes.groupBy("run_id").agg(
+        F.min("family").alias("family"), F.sum("n_flows_total").alias("n_flows_total"), F.max("run_end_s").alias("run_end_s"),
+        F.min("t_first_attack_flow_s").alias("t_first_attack_flow_s")), W, S)
+
+
+def last_starts(spans: DataFrame, W: int, S: int) -> DataFrame:
     last = F.floor((F.col("run_end_s") - W) / S) * S
     return spans.withColumn(
         "last_start_s", F.when((F.col("run_end_s") > 0) & (last >= 0), last).otherwise(-1).cast("bigint")
@@ -169,21 +183,27 @@ def moment_std(name: str) -> Column:
 # ---- the two aggregates ------------------------------------------------------------------
 
 
-def window_measures(flows: DataFrame, W: int, S: int) -> DataFrame:
-    """Counts, label counts, numeric statistics and flag sums per non-empty window."""
+def pane_measures(flows: DataFrame, W: int, S: int) -> DataFrame:
+    """State of every pane: facts of the run's span, label counts, moments and flag sums."""
     nums = {c: to_double(c) for c in NUMERIC if c in flows.columns}
     flags = {c: F.coalesce(to_double(c), F.lit(0.0)) for c in FLAGS if c in flows.columns}
     g = pane_seconds(W, S)
-    panes = flows.groupBy("run_id", F.floor(F.col("t_rel_s") / g).alias("pane")).agg(
-        F.count("*").alias("n_flows"),
+    return flows.groupBy("run_id", F.floor(F.col("t_rel_s") / g).alias("pane")).agg(
+        *span_aggs(flows),
         F.count(F.when(is_attack(flows, "traffic_type"), 1)).alias("attack_flow_count"),
         *moment_aggs(nums),
         *[F.sum(x).alias(f"{c}_sum") for c, x in flags.items()],
     )
+
+
+def window_measures(panes: DataFrame, W: int, S: int) -> DataFrame:
+    """Counts, label counts, numeric statistics and flag sums per non-empty window, from pane states."""
+    nums = [c for c in NUMERIC if f"{c}__n" in panes.columns]
+    flags = [c for c in FLAGS if f"{c}_sum" in panes.columns]
     return panes_to_windows(panes, W, S).groupBy(*KEY).agg(
-        F.sum("n_flows").alias("n_flows"),
+        F.sum("n_flows_total").alias("n_flows"),
         F.sum("attack_flow_count").alias("attack_flow_count"),
-        *moment_merge(list(nums)),
+        *moment_merge(nums),
         *[F.sum(f"{c}_sum").alias(f"{c}_sum") for c in flags],
     )
 
@@ -269,12 +289,13 @@ def network_windows(
 ) -> DataFrame:
     """All window features and labels of flows that carry ``t_rel_s``, ``ord`` and ``family``."""
     require(flows, ["run_id", "family", "t_rel_s", "traffic_type"], "flows")
-    spans = settle(run_spans(flows, W, S), "spans")
+    panes = settle(pane_measures(flows, W, S), "panes")  # the first of two reads of the flows
+    spans = settle(spans_of_panes(panes, W, S), "spans")
     nums = [c for c in NUMERIC if c in flows.columns]
     flags = [c for c in FLAGS if c in flows.columns]
     fields = [c for c in (*CATEGORICAL, *ADDRESSES, *PORTS, *ATTACK_LABELS) if c in flows.columns]
     out = window_grid(spans, W, S).join(
-        window_measures(flows, W, S), KEY, "left" if keep_empty_windows else "inner"
+        window_measures(panes, W, S), KEY, "left" if keep_empty_windows else "inner"
     )
     if fields:
         out = out.join(spread_values(window_values(flows, W, S), fields), KEY, "left")

@@ -117,10 +117,10 @@ def radio_windows(seconds: DataFrame, index: DataFrame, W: int, S: int, kpis: li
         F.count(F.when(F.col("sec_has_record"), 1)).alias("present"),
         *moment_aggs({c: F.col(c).cast("double") for c in names}),
     )
+    panes = settle(panes, "radio-panes")  # read twice below
     stats = panes_to_windows(panes, W, S).groupBy(*KEY).agg(
         F.sum("present").alias("present"), *moment_merge(names))
-    seconds = settle(seconds, "radio-seconds")
-    known = seconds.select("run_id").distinct().withColumn("_known", F.lit(True))
+    known = panes.select("run_id").distinct().withColumn("_known", F.lit(True))
     labels = [c for c in ("traffic_type_win", "attack_category_win", "attack_type_win", "n_flows", "attack_flow_frac")
               if c in index.columns]
     j = attach(index.select("run_id", "family", "window_start_s", "window_end_s", *labels), known, "run_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crosswin.functions.expr import hash_number
 from crosswin.operators import features as ft
+from crosswin.operators.scale import settle
 from crosswin.plans import bindings as b
 from crosswin.plans import q_network as qn
 from crosswin.plans.registry import query, r4, rounded, sql_r4
@@ -83,6 +84,53 @@ def _categorical_transform(spark, d):
     return rounded(long_form(t.apply(f, ["p_partkey", "part"]), ["p_partkey", "part"], t.names))
 
 
+ALL_SPLITS_SQL = """
+f AS (
+  SELECT 'split' || seed AS split_name, p_partkey,
+         CASE WHEN CAST('0x' || substr(md5(p_brand || seed), 1, 8) AS BIGINT) % 10 < 6 THEN 'train' WHEN CAST('0x' || substr(md5(p_brand || seed), 1, 8) AS BIGINT) % 10 < 8 THEN 'val' ELSE 'test' END AS part,
+         p_size::DOUBLE AS size, p_retailprice AS price, p_size - 25.0::DOUBLE AS "offset",
+         CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice / 7 END AS sparse, 3.0::DOUBLE AS constant, NULL::DOUBLE AS empty,
+         p_type AS kind, CASE WHEN p_partkey % 9 <> 0 THEN split_part(p_name, ' ', 1) END AS word
+  FROM part, (SELECT unnest([1, 2]) AS seed)),
+num AS (""" + " UNION ALL ".join(
+    f"SELECT split_name, p_partkey, part, '{c}' AS c, {i} AS place, \"{c}\" AS v FROM f" for i, c in enumerate(NUM)) + f"""),
+st AS (SELECT split_name, c, coalesce(quantile_cont(v, 0.5), 0) AS med, coalesce(min(v) >= 0 AND max(v) > 10, FALSE) AS lg FROM num WHERE part = 'train' GROUP BY 1, 2),
+imp AS (SELECT n.*, lg, CASE WHEN lg THEN ln(1 + greatest(coalesce(v, med), 0)) ELSE coalesce(v, med) END AS x FROM num n JOIN st USING (split_name, c)),
+ms AS (SELECT split_name, c, avg(x) AS m, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS s FROM imp WHERE part = 'train' GROUP BY 1, 2),
+cat AS (SELECT split_name, p_partkey, part, 'kind' AS c, 0 AS place, kind AS v FROM f UNION ALL SELECT split_name, p_partkey, part, 'word', 1, word FROM f),
+cc AS (SELECT split_name, place, c, v, count(*) AS n FROM cat WHERE part = 'train' AND v IS NOT NULL GROUP BY ALL),
+mo AS (SELECT split_name, c, arg_min(v, (-n, v)) AS mode FROM cc GROUP BY 1, 2),
+dict AS (SELECT split_name, c, v, {len(NUM)} + row_number() OVER (PARTITION BY split_name ORDER BY place, v) - 1 AS i FROM cc)"""
+
+
+@query("transform_all_splits", "M9 M10 M11", f"""WITH {ALL_SPLITS_SQL}
+SELECT split_name, part, p_partkey, CAST(place AS BIGINT) AS "index", CASE WHEN lg THEN c || '__log1p' ELSE c END AS feature, {sql_r4('(x - m) / s')} AS value FROM imp JOIN ms USING (split_name, c)
+UNION ALL SELECT cat.split_name, part, p_partkey, i, c || '_' || dict.v, 1.0 FROM cat JOIN mo USING (split_name, c) JOIN dict USING (split_name, c) WHERE dict.v = coalesce(cat.v, mode)""")
+def _transform_all_splits(spark, d):
+    """Both splits fitted in one pass; categories are a table, vectors are sparse."""
+    t, rows = all_splits(spark, d)
+    x = t.apply(rows, ["split_name", "part", "p_partkey"])
+    entries = x.select("split_name", "part", "p_partkey", F.inline(F.arrays_zip(F.col("indices").alias("index"), F.col("values").alias("value"))))
+    return rounded(entries.join(t.names(), ["split_name", "index"]).select("split_name", "part", "p_partkey", "index", "feature", r4("value")))
+
+
+@query("split_dictionaries", "M10 M11", f"""WITH {ALL_SPLITS_SQL}
+SELECT split_name, c AS "column", count(*) AS n_values, min(i) AS first_index, max(i) AS last_index, any_value(mode) AS mode FROM dict JOIN mo USING (split_name, c) GROUP BY 1, 2""")
+def _split_dictionaries(spark, d):
+    t, _ = all_splits(spark, d)
+    sizes = t.dictionary.groupBy("split_name", "column").agg(
+        F.count("*").alias("n_values"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+    return sizes.join(t.modes, ["split_name", "column"])
+
+
+def all_splits(spark, d):
+    each = frame(spark, d).drop("part").withColumn("seed", F.explode(F.array(F.lit("1"), F.lit("2"))))
+    h = hash_number(F.concat("run_id", "seed")) % 10
+    part = F.when(h < 6, "train").when(h < 8, "val").otherwise("test")
+    rows = settle(each.withColumns({"split_name": F.concat(F.lit("split"), "seed"), "part": part}).drop("seed"), "split-rows")
+    return ft.fit_all_splits(rows, NUM, CAT), rows
+
+
 @query("feature_ablation", "P6 P7 P8", """
 SELECT 'kept' AS variant, 'size' AS feature, sum(p_size)::DOUBLE AS value FROM part
 UNION ALL SELECT 'no_history', 'proto_mode_a', sum(p_size % 2)::DOUBLE FROM part
