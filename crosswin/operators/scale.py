@@ -14,7 +14,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 1_000_000
@@ -37,22 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
-    The written files survive lost executors and carry real sizes for later join planning. Rows and
-    bytes are observed while they are written, so that asking for them takes no job of its own.
+    The written files survive lost executors and carry real sizes for later join planning.
     """
     path = os.path.join(shared_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    seen, width = Observation(), row_width(df.schema, cheap=True)
-    counts = [F.count(F.lit(1)).alias("rows")]
-    if width is not None:
-        counts.append(F.sum(width).alias("bytes"))
-    df.observe(seen, *counts).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._observed = seen.get
-    return out
-
-
-def row_width(schema: T.StructType, cheap: bool = False) -> Column | None:
-    """Upper estimate of a row's bytes in memory; None if ``cheap`` and a column must be spelled out for it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_width(schema: T.StructType) -> Column:
+    """Upper estimate of a row's bytes in memory."""
     fixed, variable = 16, []
     for field in schema.fields:
         kind = field.dataType
@@ -62,26 +55,27 @@ def row_width(schema: T.StructType, cheap: bool = False) -> Column | None:
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
             variable.append(F.coalesce(F.size(field.name), F.lit(0)) * 16)
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            if cheap:
-                return None
             variable.append(F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) * 4)
         else:
             fixed -= 8
     return sum(variable, F.lit(fixed)).cast("bigint")
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of a settled table, observed or from its own rows."""
-    observed = df.__dict__.get("_observed", {})
-    if "bytes" in observed:
-        return observed["bytes"] or 0
-    return df.agg(F.coalesce(F.sum(row_width(df.schema)), F.lit(0)).alias("b")).first()["b"]
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, upper estimate of bytes in memory) of a settled table, asked for once per DataFrame.
+
+    An Observation on the write would spare this job, but a session that has used one can no longer
+    ship MLlib's logistic models to tasks.
+    """
+    known = df.__dict__.get("_measured")
+    if known is None:
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_width(df.schema)), F.lit(0)).alias("b")).first()
+        known = df._measured = row["n"], row["b"]
+    return known
 
 
-def table_rows(df: DataFrame) -> int:
-    """Rows of a settled table."""
-    observed = df.__dict__.get("_observed", {})
-    return observed["rows"] if "rows" in observed else df.count()
+def table_bytes(df: DataFrame) -> int:
+    return measured(df)[1]
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -139,7 +133,7 @@ def running_totals(
     """
     bound = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     df = settle(df, "ordered")
-    rows = table_rows(df)
+    rows = df.count()  # from the files' footers
     if rows <= bound:
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
