@@ -18,30 +18,38 @@ SPACES = r"[\x20\x09\x0B-\x0D]"
 
 
 def unescaped(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Entities as characters, each once: what follows an & is looked up as far as the next semicolon."""
+    names = F.create_map(*[F.lit(x) for entity, char in ENTITIES.items() for x in (entity[1:-1], char)])
+    after = F.split(text, "&")
 
+    def piece(p: Column) -> Column:
+        name = F.substring_index(p, ";", 1)
+        char = F.when(F.contains(p, F.lit(";")), F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, p.substr(F.length(name) + 2, F.length(p))), F.concat(F.lit("&"), p))
 
-def plain_text(html: Column) -> Column:
+    rest = F.transform(F.slice(after, F.lit(2), F.size(after)), piece)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(after, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+
+
+def with_plain_text(rows: DataFrame, html: str, out: str) -> DataFrame:
     """Visible text: hidden parts and tags go, block tags end lines, entities become characters."""
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, "")
-    html = F.regexp_replace(html, f"(?i)</?(?:{LINE_TAGS})(?:[^a-z0-9>][^>]*)?>", "\n")
-    text = unescaped(F.regexp_replace(html, "<[a-zA-Z/!?][^>]*>", ""))
-    text = F.regexp_replace(text, f"{SPACES}+", " ")
-    text = F.regexp_replace(text, " ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+\z", "")
+    text = F.when(F.contains(html, F.lit("<!--")), F.regexp_replace(html, HIDDEN[0], "")).otherwise(F.col(html))
+    for pattern in HIDDEN[1:]:
+        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(text, f"(?i)</?(?:{LINE_TAGS})(?:[^a-z0-9>][^>]*)?>", "\n")
+    rows = rows.withColumn(out, F.regexp_replace(text, "<[a-zA-Z/!?][^>]*>", "")).withColumn(out, unescaped(F.col(out)))
+    # a single space stays as it is
+    text = F.regexp_replace(out, rf"[\x09\x0B-\x0D]{SPACES}*|\x20{SPACES}+", " ")
+    return rows.withColumn(out, F.btrim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n")))
 
 
 def sha(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def record_id(source: str, kind: str) -> Column:
-    """A name-based identifier: the same response always gets the same derivatives."""
-    h = F.sha2(F.concat(F.col(source), F.lit(f"|{kind}")), 256)
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+def record_id(digest: str) -> Column:
+    """A name-based identifier from a hexadecimal digest column."""
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
 def header_lines(*pairs: tuple[str, Column]) -> Column:
@@ -57,10 +65,10 @@ def derive(responses: DataFrame) -> DataFrame:
     end at the first empty line (a block without one is a payload without headers). Missing
     targets and dates leave out their fields, a null block is an empty one. Repeated responses
     give repeated records, an empty table none. Other columns come along unless an output
-    column has their name.
+    column, or one the operator works with (their names begin with _), has their name.
     """
     outputs = {"record_type", "record_id", "refers_to", "target_uri", "warc_date", "source_payload_digest", "content_type", "content_length", "block_digest", "headers", "block"}
-    extra = [c for c in responses.columns if c not in outputs]
+    extra = [c for c in responses.columns if c not in outputs and c not in ("_block", "_http", "_payload", "_title", "_fields", "_text", "_metadata", "_conversion")]
     rows = responses.select(
         *extra, F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.coalesce("block", F.lit("")).alias("_block"))
     cut = F.instr("_block", CRLF * 2)
@@ -72,15 +80,19 @@ def derive(responses: DataFrame) -> DataFrame:
     kept = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x != ""), lambda x: F.concat(F.lit("http-header: "), x))
     links = F.regexp_extract_all("_payload", F.lit('(?i)<a[^a-z>][^>]*?href="([^"]*)"'), 1)
     outlinks = F.transform(links, lambda x: F.concat(F.lit("outlink: "), unescaped(x)))
-    title = F.nullif(unescaped(F.regexp_extract("_payload", "(?is)<title[^>]*>(.*?)</title", 1)), F.lit(""))
     status = F.when(F.get(lines, F.lit(0)).startswith("HTTP/"), F.get(lines, F.lit(0)))
-    fields = F.concat_ws(CRLF, F.concat(F.lit("http-status-line: "), status), F.concat(F.lit("title: "), F.regexp_replace(title, "[\r\n]+", " ")), kept, outlinks)
-    fields = F.when(fields != "", F.concat(fields, F.lit(CRLF))).otherwise("")
+    # columns of their own, so that none is computed twice: the same response always gets the same derivatives
+    own = {f"_{kind}": F.sha2(F.concat("refers_to", F.lit(f"|{kind}")), 256) for kind in ("metadata", "conversion")}
+    rows = rows.withColumn("_title", F.regexp_extract("_payload", "(?is)<title[^>]*>(.*?)</title", 1)).withColumn("_title", unescaped(F.col("_title")))
+    title = F.when(F.col("_title") != "", F.concat(F.lit("title: "), F.regexp_replace("_title", "[\r\n]+", " ")))
+    fields = F.concat_ws(CRLF, F.concat(F.lit("http-status-line: "), status), title, kept, outlinks)
+    rows = with_plain_text(rows.withColumns({"_fields": fields, **own}), "_payload", "_text")
+    fields = F.when(F.col("_fields") != "", F.concat("_fields", F.lit(CRLF))).otherwise("")
     both = rows.select(
         *extra, "refers_to", "target_uri", "warc_date", sha(F.col("_payload")).alias("source_payload_digest"),
         F.explode(F.array(
-            F.struct(F.lit("metadata").alias("record_type"), record_id("refers_to", "metadata").alias("record_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-            F.struct(F.lit("conversion").alias("record_type"), record_id("refers_to", "conversion").alias("record_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_payload")).alias("block")),
+            F.struct(F.lit("metadata").alias("record_type"), record_id("_metadata").alias("record_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
+            F.struct(F.lit("conversion").alias("record_type"), record_id("_conversion").alias("record_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")),
         )).alias("r"))
     both = both.select(*extra, "refers_to", "target_uri", "warc_date", "source_payload_digest", "r.*")
     both = both.withColumn("content_length", F.octet_length("block").cast("bigint")).withColumn("block_digest", sha(F.col("block")))
@@ -107,9 +119,8 @@ def responses_of(pages: DataFrame) -> DataFrame:
     uid = F.sha2(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 256)
     html = F.coalesce("html", F.lit(""))
     http = F.concat_ws(CRLF, F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(html)), F.lit(""), html)
-    return pages.select(
-        F.col("page_id").cast("bigint").alias("page_id"),
-        F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(uid, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">")).alias("record_id"),
-        F.col("url").alias("target_uri"),
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("target_uri"), uid.alias("_uid"), http.alias("block"))
+    return rows.select(
+        "page_id", record_id("_uid").alias("record_id"), "target_uri",
         F.expr("concat(replace(cast(timestampadd(SECOND, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS string), ' ', 'T'), 'Z')").alias("warc_date"),
-        http.alias("block"))
+        "block")
