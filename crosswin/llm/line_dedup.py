@@ -1,8 +1,8 @@
 """Line dedup over a range-partitioned, secondarily sorted table of line hashes.
 
 Every document sends one row per distinct line key: a 128-bit hash, its document, and the
-positions of its lines. Rows are range-partitioned by (hash, document, position) and sorted, so
-a hot line is cut into several ranges by its documents. Each range is streamed once with constant
+positions of its lines. Rows are range-partitioned by (hash, document) and sorted by position too, so
+a hot line is cut into several ranges between its documents, never within one. Each range is streamed once with constant
 state and tells, per run of equal hashes, how many documents it saw and the first occurrence; only
 runs that are frequent, or that touch a range's ends and may go on next door, are passed on and
 added up. Frequent keys then mark lines, and each document gets a zlib-compressed bitmap of the
@@ -119,7 +119,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     keys = scratch.put(identified(docs).mapInArrow(line_keys(min_chars), KEYS), "keys")
     ordered = ["h", "g", "doc_id", "row_hash"]
     slim = keys.select(*ordered, F.col("at")[0].alias("first_at"))
-    ranged = slim.repartitionByRange(tasks(docs.sparkSession), *ordered, "first_at").sortWithinPartitions(*ordered, "first_at")
+    # a doc_id with several texts must not lie on both sides of a range's end, or it counts twice
+    ranged = slim.repartitionByRange(tasks(docs.sparkSession), "h", "g", "doc_id").sortWithinPartitions(*ordered, "first_at")
     runs = scratch.put(ranged.mapInArrow(stream_runs(min_docs), RUNS), "runs")
     first = F.min(F.struct(F.col("doc_id").alias("first_doc"), F.col("row_hash").alias("first_row"), "first_at"))
     frequent = runs.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"), first.alias("first"))
