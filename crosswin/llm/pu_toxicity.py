@@ -29,7 +29,6 @@ BUCKETS = 1 << 18
 PIECE = 4
 STEM = 5
 STEM_LEVELS = (1, 2, 3, 5, 8)  # at least so many distinct words with one stem
-SELECTED = 512
 LEAST_Z = 4.0  # standard errors by which positives must hold a selected bucket more often
 MAX_POSITIVE = 5_000
 MAX_UNLABELLED = 20_000
@@ -174,7 +173,7 @@ def decision_bound(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> float:
     return float((bounds[k] + (bounds[k + 1] if k + 1 < len(bounds) else bounds[k] - 1)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Classifier:
     """Fit on labelled toxic documents and unlabelled text outside the held-out fold."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
@@ -194,23 +193,26 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Classifier:
         return nothing
     share, base = (F.col("p") / F.lit(sizes.p)), (F.col("u") + 1) / F.lit(sizes.u + 2)
     z = (share - base) / F.sqrt(base * (1 - base) / F.lit(sizes.p))
-    best = counts.where(z >= LEAST_Z).orderBy(z.desc(), "bucket").limit(SELECTED).select("bucket").collect()
-    buckets = np.array([r.bucket for r in best], np.int64)
+    best = counts.where(z >= LEAST_Z).select("bucket").collect()  # all that pass the test, BUCKETS at most
+    buckets = np.array(sorted(r.bucket for r in best), np.int64)
     wanted = Classifier(buckets, np.empty(0), 0.0).wanted()
 
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             row, feature = document_features(column_of(batch, "text"), wanted)
             offset = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
-            yield pa.RecordBatch.from_arrays([batch.column("role"), list_array(pa.array(feature, pa.int32()), offset)], ["role", "features"])
+            names = ["role", "lot", "hash"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), list_array(pa.array(feature, pa.int32()), offset)], [*names, "features"])
 
     def part(of: DataFrame, n: int, most: int, role: str) -> DataFrame:
         lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000))
-        drawn = of.where(lot < F.lit(min(1_000_000, int(1_000_000 * most / max(n, 1))))).select("text", F.lit(role).alias("role"))
-        # the limit cuts what the lots draw beyond their mean; it moves lists of features, not texts
-        return drawn.mapInArrow(selected, "role string, features array<int>").limit(most)
+        rows = of.select("text", F.lit(role).alias("role"), lot.alias("lot"), F.xxhash64("text").alias("hash"))
+        drawn = rows.where(F.col("lot") < F.lit(min(1_000_000, int(1_100_000 * most / max(n, 1)) + 100)))
+        # the lowest lots, as lists of features, not texts; equal whatever the files' layout
+        return drawn.mapInArrow(selected, "role string, lot bigint, hash bigint, features array<int>").orderBy("lot", "hash").limit(most)
 
-    taken = part(rows.where("positive"), sizes.p, MAX_POSITIVE, "p").union(part(rows, sizes.u, MAX_UNLABELLED, "u")).toArrow()
+    taken = part(rows.where("positive"), sizes.p, max_positive, "p").union(part(rows, sizes.u, max_unlabelled, "u")).toArrow()
+    taken = taken.sort_by([("role", "ascending"), ("lot", "ascending"), ("hash", "ascending")])
     lists = {"p": [], "u": []}
     for role, features in zip(taken.column("role").to_pylist(), taken.column("features").to_pylist()):
         lists[role].append(np.asarray(features, np.int32))
@@ -219,15 +221,19 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Classifier:
     return Classifier(buckets, *fit(lists["p"], lists["u"], prior, len(buckets)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per document; predicted is score >= 0.5.
 
+    The classifier is fitted on at most ``max_positive`` labelled toxic documents and
+    ``max_unlabelled`` others, drawn by hash; which features it has is decided over all rows.
+    The result does not depend on the rows' order or layout.
+
     Null and empty texts are scored by the bias alone. Rows without doc_id are scored, never
     learnt from and not held out. Labels of one doc_id count as toxic if any is. Without
     toxic labels every score is near 0. Repeated rows get equal scores; an empty table gives
     no rows.
     """
-    model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"))
+    model = train(docs, labels, Scratch(docs.sparkSession, "toxicity"), max_positive, max_unlabelled)
     wanted = model.wanted()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
