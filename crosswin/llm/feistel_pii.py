@@ -26,6 +26,8 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 # fixed values: length of account numbers by country, all that are registered
 ACCOUNT_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())  # fixed values: country codes
+
 
 def permute(value: int, size: int, key: bytes, kind: str) -> int:
     """Keyed permutation of 0 .. size - 1: a balanced Feistel network, cycle-walked."""
@@ -80,12 +82,16 @@ def social(text: str, key: bytes) -> str | None:
 
 
 def phone(text: str, key: bytes) -> str | None:
-    """The last digits after the country code (up to ten) are permuted."""
+    """The national number is permuted, the country code stays; a number without one counts as of +1."""
     digits = re.sub(r"\D", "", text)
     if not 8 <= len(digits) <= 15:
         return None
-    n = min(10, len(digits) - 1)
-    return refill(text, digits[:-n] + f"{permute(int(digits[-n:]), 10**n, key, 'phone'):0{n}d}")
+    code = ""
+    if text.startswith("+"):
+        code = digits[:1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+    national = digits[len(code):]
+    new = permute(int(national), 10 ** len(national), key, f"phone{code or '1'}")
+    return refill(text, f"{code}{new:0{len(national)}d}")
 
 
 def is_private(v: int) -> bool:
@@ -253,7 +259,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(lists, kind)], ["doc_id", "new_text", "found"])
 
     rows = text_rows(docs)
-    suspect = F.coalesce(F.col("text").rlike("[0-9]|@"), F.lit(False))  # every kind has one of them
+    # every kind has a digit of some script, an @ or the name of a secret
+    suspect = F.coalesce(F.col("text").rlike(r"[\p{Nd}@]|(?i:token|secret|password|api)"), F.lit(False))
     looked = rows.where(suspect).mapInArrow(run, f"doc_id bigint, new_text string, found {FOUND}")
     clean = rows.where(~suspect).select("doc_id", F.col("text").alias("new_text"), F.array().cast(FOUND).alias("found"))
     return looked.unionByName(clean)

@@ -63,6 +63,37 @@ def test_pseudonymise_rows(make_docs):
         P.pseudonymise(make_docs(rows), b"short")
 
 
+def test_every_kind_reaches_the_search(make_docs):
+    rows = [(1, "token=" + "abcdef" * 4), (2, "on \u0662\u0660\u0662\u0664-\u0660\u0661-\u0660\u0662 it was"), (3, "API_KEY: " + "ABCDEF" * 5), (4, "nothing here"), (5, "a.b@c.example")]
+    got = P.findings(make_docs(rows), KEY).collect()
+    assert sorted((r.doc_id, r.kind) for r in got) == sorted((i, k) for i, t in rows for _, _, k, _ in P.find(t, KEY))
+    assert {r.doc_id for r in got} >= {1, 3, 5}
+
+
+def test_phones_keep_their_country_and_link():
+    new = lambda text: P.find(text, KEY)[0][3]
+    assert new("+49 30 1234567").startswith("+49 ") and new("+380 44 123 4567").startswith("+380 ")
+    plain = [re.sub(r"\D", "", new(t))[-10:] for t in ("+1 (212) 555-0100", "(212) 555-0100", "212-555-0100")]
+    assert len(set(plain)) == 1 and plain[0] != "2125550100"
+
+
+def test_find_equals_brute_force():
+    """Every span of a text that a kind's pattern matches whole and its check accepts is found, or overlaps one that is."""
+    import random
+
+    r = random.Random(3)
+    pieces = ["4111 1111 1111 1111", "5500005555555559", "2024-02-29", "31/12/1999", "123-45-6789", "8.8.8.8", "DE89370400440532013000", "jo@x.example.org", "+49 30 1234567", "12", "999", "AB", "of", "token=" + "0af" * 9]
+    for _ in range(150):
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(1, 7)))
+        found = P.find(text, KEY)
+        taken = {k for a, b, _, _ in found for k in range(a, b)}
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        for kind, pattern, replace in P.KINDS:
+            for m in pattern.finditer(text):
+                if replace(m.group(), KEY) is not None:
+                    assert taken & set(range(*m.span())), (kind, m.group(), text)
+
+
 PAGES = [
     (1, "http://a.example.org/es/x?q#f"), (2, "https://WWW.Example.ORG/en/15"), (3, "http://example.org.evil.net/es/"), (4, None), (5, "no scheme"),
     (6, "x://b.com/de/1"), (6, "x://b.com/de/1"), (7, "x://bad.net/spam?u=http://org/"), (8, "x://bad.net/spam"), (9, "x://org"), (10, "://"), (None, "x://fine.net/"),
