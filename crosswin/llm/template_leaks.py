@@ -77,8 +77,10 @@ class Templates:
         """(view, start, hash) of windows inside one text.
 
         View 0 has placeholders for numbers, units and names, 1 for numbers and units, 2 for none.
-        Windows with placeholders need literals for half their words. View 0 holds those with a
-        name (others are in view 1), view 2 those that view 1 leaves out: equal words always meet.
+        Windows with number and unit placeholders only need literals for half their words; with a
+        name, two literals are enough, or half of a short window: whether it is the item is told by
+        its slots. View 0 holds windows with a name (others are in view 1), view 2 those that
+        view 1 leaves out: equal words always meet.
         """
         lengths = np.diff(self.offset)
         n = len(self.slot)
@@ -90,7 +92,7 @@ class Templates:
         up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE))])
         down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BACK))])
         for view, values, take in (
-            (0, self.template, (n_names > 0) & (2 * (n_fixed + n_names) <= width)), (1, half, 2 * n_fixed <= width), (2, self.literal, 2 * n_fixed > width)):
+            (0, self.template, (n_names > 0) & (n_fixed + n_names <= max(width - 2, width // 2))), (1, half, 2 * n_fixed <= width), (2, self.literal, 2 * n_fixed > width)):
             start = every[take]
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values) * up[:n])])
             yield view, start, mix((sums[start + width] - sums[start]) * down[start] + np.uint64(4 * width + view))
@@ -196,7 +198,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     value changed, else 'reparameterised'. n_slots and n_consistent count slot positions. Every
     item has its own rows, also where items share a template; an item_id with several texts is
     an item for each. Items of fewer than four words, null or empty texts and null ids give no
-    rows; repeated rows give what one of them gives; empty tables give no rows.
+    rows; repeated rows give what one of them gives, different texts of one doc_id are judged
+    apart and each may have a row; empty tables give no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -225,13 +228,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             row, columns = window_rows(column_of(batch, "text"), widths, shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *columns], ["doc_id", "pos", "doc_width", "doc_view", "doc_h", "words"])
+            ids = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_hash")]
+            yield pa.RecordBatch.from_arrays([*ids, *columns], ["doc_id", "row_hash", "pos", "doc_width", "doc_view", "doc_h", "words"])
 
-    hits = text_rows(docs).where("doc_id is not null").mapInArrow(of_documents, "doc_id bigint, pos int, doc_width int, doc_view int, doc_h bigint, words array<bigint>")
+    rows = text_rows(docs).where("doc_id is not null").withColumn("row_hash", F.xxhash64("text"))
+    hits = rows.mapInArrow(of_documents, "doc_id bigint, row_hash bigint, pos int, doc_width int, doc_view int, doc_h bigint, words array<bigint>")
     known = F.broadcast(cuts) if table_bytes(cuts) <= BROADCAST_BYTES else cuts
     joined = hits.join(known, (F.col("doc_h") == F.col("h")) & (F.col("doc_width") == F.col("width")) & (F.col("doc_view") == F.col("view")))
     one = F.struct((F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "width", "view", "words")
-    per_template = joined.groupBy("doc_id", "t1", "t2").agg(F.collect_set(one).alias("found"))  # as long as the document at most
+    # each text of a doc_id on its own; its windows times the places of the template that look alike
+    per_template = joined.groupBy("doc_id", "row_hash", "t1", "t2").agg(F.collect_set(one).alias("found"))
     members = listed.select("item_id", "n_words", "t1", "t2", "item_words", "item_slots")
     members = F.broadcast(members) if table_bytes(listed) <= BROADCAST_BYTES else members
     judged = per_template.join(members, ["t1", "t2"]).select("doc_id", "item_id", "n_words", "found", "item_words", "item_slots")
