@@ -65,12 +65,19 @@ def feistel(place: Column, n: int, seed: int, back: bool = False) -> Column:
 
 
 def walks(spark: SparkSession, n: int, seed: int) -> int:
-    """The longest way any row takes outside the table: the places too many, about sqrt(n), are followed until all are back."""
+    """The longest way any row takes outside the table: the places too many, about sqrt(n), are followed
+    until they are back. Places that only lead to each other never are, and no row leads to them."""
     a, b = sides(n)
-    outside, steps = spark.range(n, a * b).withColumnRenamed("id", "place"), 0
-    while not outside.isEmpty():
-        outside, steps = outside.select(feistel(F.col("place"), n, seed).alias("place")).where(F.col("place") >= n), steps + 1
-    return steps
+    limit = 8
+    while True:
+        start = F.struct(F.col("id").alias("v"), F.lit(0).alias("k"))
+        step = lambda at, _: F.when(at["v"] < n, at).otherwise(F.struct(feistel(at["v"], n, seed).alias("v"), (at["k"] + 1).alias("k")))
+        way = F.aggregate(F.array_repeat(F.lit(0), limit), start, step)
+        ends = spark.range(n, a * b).select(way.alias("at")).agg(
+            F.max(F.when(F.col("at.v") < n, F.col("at.k"))).alias("k"), F.max(F.col("at.v") >= n).alias("outside")).first()
+        if not ends["outside"] or limit > a * b - n:
+            return ends["k"] or 0
+        limit *= 2
 
 
 def permuted(place: Column, n: int, seed: int, steps: int, back: bool = False) -> Column:
