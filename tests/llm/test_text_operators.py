@@ -245,7 +245,8 @@ def brute_leaks(rows, items):
                     fits = x_equal = [u[0] for u in x] == [v[0] for v in y]
                     for kinds in ({template_leaks.NUM, template_leaks.UNIT, name}, {template_leaks.NUM, template_leaks.UNIT}):
                         shape = [[k if k in kinds else w for w, k in side] for side in (x, y)]
-                        fits |= shape[0] == shape[1] and 2 * sum(k in kinds for _, k in x) <= width
+                        slots, dense = sum(k in kinds for _, k in x), name in kinds and any(k == name for _, k in x)
+                        fits |= shape[0] == shape[1] and (slots <= max(width - 2, width // 2) if dense else 2 * slots <= width)
                     if fits:
                         places.setdefault(p - q, []).append((q, x_equal))
             covered, changed = set(), False
@@ -309,3 +310,56 @@ def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
             want[i] = len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
     got = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and leaked == {140, 141} and toxic and len(firsts) < len(rows) - len(toxic)
+
+
+def test_dense_items_are_found_again(spark, make_docs):
+    item = "Alice gave Bob 5 and Carol 7 while Dave gave Erin 9 and Frank 3 coins"
+    changed = "Mary gave Paul 6 and Susan 8 while Peter gave Anna 11 and Henry 4 coins"
+    docs = make_docs([(1, "so " + item + " end"), (2, changed), (2, "another text of the same number: " + item), (3, "Alice gave Bob a book")])
+    found = template_leaks.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.leak) for x in found) == [(1, "verbatim"), (2, "reparameterised"), (2, "verbatim")]
+
+
+def test_lines_below_the_bound_stay_where_ids_repeat(spark, make_docs):
+    rows = [(k, f"text {n} of {k}\nthe same line") for k in range(9) for n in range(300)]
+    got = line_dedup.dedup_lines(make_docs(rows).repartition(6), min_docs=10).collect()
+    assert len(got) == 2700 and not any(x.n_dropped for x in got)
+    got = line_dedup.dedup_lines(make_docs([*rows, (9, "the same line")]), min_docs=10).collect()
+    assert all(x.n_dropped == 1 for x in got)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, make_docs):
+    r = random.Random(21)
+    plain = "the river runs past old houses and quiet fields where people walk every day in spring".split()
+    rows = [(k, " ".join(r.choice(plain + ["vile", "nasty"] * (k % 6 == 0)) for _ in range(30))) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(0, 240, 2)], "doc_id long, toxic int")
+    runs = []
+    for n, order in ((1, rows), (7, rows[::-1])):
+        got = pu_toxicity.score_toxicity(make_docs(order).repartition(n), labels, max_positive=12, max_unlabelled=60).collect()
+        runs.append(sorted((x.doc_id, x.score, x.predicted) for x in got))
+    assert runs[0] == runs[1] and len({p for _, _, p in runs[0]}) == 2
+
+
+def test_risk_equals_plain_python():
+    """One step from zero weights: the first gradient sign decides every weight's direction."""
+    import numpy as np
+
+    positive, unlabelled = [np.array([0, 1])] * 6, [np.array([1])] * 14 + [np.array([0, 1])] * 6
+    weights, bias = pu_toxicity.fit(positive, unlabelled, 0.3, 2, epochs=60)
+    score = lambda features: 1 / (1 + math.exp(-(sum(weights[f] for f in features) + bias)))
+    assert score([0, 1]) > 0.5 > score([1])
+    g_p, g_u = np.array([2.0, 1.0, -1.0]), np.array([2.0, 0.5, -0.5, -1.0, -2.0])
+    risks = {}
+    for b in (-3, -1.5, -0.75, 0, 0.75, 1.5, 3):
+        found, flagged = (g_p > b).mean(), (g_u > b).mean()
+        risks[b] = 0.3 * (1 - found) + max(0, flagged - 0.3 * found)
+    bound = pu_toxicity.decision_bound(g_p, g_u, 0.3)
+    found, flagged = (g_p > bound).mean(), (g_u > bound).mean()
+    assert 0.3 * (1 - found) + max(0, flagged - 0.3 * found) <= min(risks.values()) + 1e-12
+
+
+def test_repeated_rows_are_judged_one_by_one(spark, make_docs):
+    rows = [(4, "one two three four five six seven eight nine ten eleven")] * 2 + [(None, None), (5, "")]
+    got = trusted_rules.judge_quality(make_docs(rows), spark.createDataFrame([(4,)], "doc_id long")).collect()
+    assert Counter(x.doc_id for x in got) == {4: 2, None: 1, 5: 1}
+    assert trusted_rules.judge_quality(make_docs([]), spark.createDataFrame([], "doc_id long")).count() == 0
