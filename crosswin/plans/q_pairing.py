@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from crosswin.functions.expr import canon_stem
 from crosswin.operators import pairing
+from crosswin.operators.scale import shared_folder
 from crosswin.plans import bindings as b
 from crosswin.plans.registry import query, rounded
 from crosswin.sources import readers
@@ -119,6 +123,27 @@ def _manifest_first_row(spark, d):
     return readers.manifest(rows.withColumn("ord", F.struct(F.length("family").alias("n"), F.col("family").alias("f"))))
 
 
+@query("manifest_file", "S2 T5", f"""WITH {KEY_SQL},
+m AS (SELECT *, row_number() OVER (PARTITION BY canon_stem ORDER BY family) AS rn FROM grps WHERE status = 'paired')
+SELECT canon_stem AS run_id, family, pcap_paths AS pcap_path, txt_paths AS txt_path FROM m WHERE rn = 1""")
+def _manifest_file(spark, d):
+    """The manifest as one sorted CSV file, read back in its line order."""
+    path = os.path.join(shared_folder(spark), f"manifest-{uuid.uuid4().hex}.csv")
+    rows = pairing.paired_manifest(keyed(spark, d)).select("family", "canon_stem", "pcap_path", "txt_path")
+    rows.coalesce(1).sortWithinPartitions("canon_stem", "family").write.option("header", True).csv(path)
+    return readers.read_manifest(spark, path)
+
+
+@query("listed_files", "S12", f"""WITH {KEY_SQL}
+SELECT 'stages' AS family, 'processed' AS layer, family AS folder FROM grps WHERE status = 'paired' GROUP BY family""")
+def _listed_files(spark, d):
+    """Folders of a written stage, from the listing of its files."""
+    path = os.path.join(shared_folder(spark), f"stage-{uuid.uuid4().hex}")
+    pairing.paired_manifest(keyed(spark, d)).write.partitionBy("family").parquet(path)
+    files = readers.path_inventory(readers.list_files(spark, path, "processed", "stages"), {"processed": ("parquet",)})
+    return files.select("family", "layer", F.regexp_extract("path", "family=([^/]+)/", 1).alias("folder")).distinct()
+
+
 @query("family_counts", "A16", f"WITH {KEY_SQL} SELECT family, count(*) AS n FROM grps WHERE status = 'paired' GROUP BY 1")
 def _family_counts(spark, d):
     return pairing.family_counts(pairing.paired_manifest(keyed(spark, d)))
