@@ -41,6 +41,8 @@ LANES = SKETCH_BITS // 64
 BAND_RATIO = 1.6
 OPEN_PAIRS = 64  # pairs between components from which a slice is compared in blocks
 BLOCK = 1024  # documents of a block
+BATCH = 4 << 20  # bytes of a batch of texts
+CHUNK_BYTES = 1 << 20  # text a task turns into shingles at once: some twenty bytes of arrays each
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
@@ -111,8 +113,9 @@ def sketch(width: int, percent: int):
     """Function for mapInArrow: set size, 128-bit set identity, sketch and slice keys of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES):
             items, offset = shingle_sets(column_of(batch, "text"), width)
+            pa.default_memory_pool().release_unused()
             n = np.diff(offset)
             row = np.repeat(np.arange(len(n)), n)
             plan = np.array(bands(percent, 2 * int(n.max(initial=1))), dtype=np.int64)  # and the band after the last one
@@ -153,8 +156,8 @@ def linked(width: int, percent: int):
     """Function for mapInArrow over (a, b, text_a, text_b): the pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wide in chunks(batches, "text_a"):
-            for batch in chunks(iter([wide]), "text_b"):
+        for wide in chunks(batches, "text_a", CHUNK_BYTES):
+            for batch in chunks(iter([wide]), "text_b", CHUNK_BYTES):
                 both = pa.concat_arrays([column_of(batch, "text_a"), column_of(batch, "text_b")]).dictionary_encode()
                 items, offset = shingle_sets(both.dictionary, width)
                 code = both.indices.to_numpy(zero_copy_only=False)
@@ -183,7 +186,7 @@ def verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, width: int, per
     near = scratch.put(near, f"{label}-near")
     sides = [with_text(texts, near, s) for s in "ab"]
     joined = sides[0].join(sides[1], ["a", "b"])
-    return scratch.put(joined.mapInArrow(linked(width, percent), "a bigint, b bigint").distinct(), f"{label}-links")
+    return scratch.put(joined.mapInArrow(linked(width, percent), "a bigint, b bigint").distinct(), f"{label}-links", BATCH)
 
 
 def with_text(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -276,7 +279,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = text_rows(docs)
-    all_rows = scratch.put(texts.mapInArrow(sketch(width, percent), SKETCHES), "sketches")
+    all_rows = scratch.put(texts.mapInArrow(sketch(width, percent), SKETCHES), "sketches", BATCH)
     identity = ["n", "h1", "h2"]
     usable = all_rows.where("doc_id is not null and n > 0")
     groups = usable.groupBy(*identity).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from crosswin.operators.scale import shared_folder, table_bytes
 
 BROADCAST_BYTES = 24 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
@@ -22,9 +23,16 @@ class Scratch:
         self.spark = spark
         self.folder = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+        """Write and read back; ``batch_bytes`` bounds the Arrow batches between Spark and Python meanwhile."""
         path = os.path.join(self.folder, name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH_BYTES)
+        try:
+            if batch_bytes is not None:
+                self.spark.conf.set(BATCH_BYTES, str(batch_bytes))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_BYTES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
