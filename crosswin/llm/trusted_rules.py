@@ -87,23 +87,30 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Dat
     return counts.select("bucket", F.round(F.log(target / raw) * MILLION).cast("bigint").alias("weight"))
 
 
+def weight_list(weights: DataFrame) -> str:
+    """The written weights as BUCKETS numbers with commas: folded to a literal of fixed size, so that no row needs a join."""
+    every = weights.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(F.broadcast(weights), "bucket", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0)).alias("weight"))))
+    return every.select("bucket", "weight").agg(F.array_join(F.transform(pairs, lambda p: p["weight"].cast("string")), ",").alias("list")).first()["list"]
+
+
 def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, features, score, base_failed, kept), one row per document.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated five-word
     windows. Other documents are kept when the mean log ratio of their n-grams is at least
     ``threshold``. Null text counts as empty and fails, score is null without words. Without
-    trusted documents all ratios favour common buckets equally. Repeated rows get equal
-    results in one row each per (doc_id, text); an empty table gives none.
+    trusted documents all ratios favour common buckets equally. Repeated rows get a row each
+    with equal results; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "trusted")
-    weights = scratch.put(bucket_weights(docs, trusted, scratch), "weights")
-    rows = rule_features(docs).withColumn("row_hash", F.xxhash64("text"))
-    grams = rows.select("doc_id", "row_hash", *FEATURES, F.explode_outer(buckets(F.col("words"))).alias("bucket"), F.size("words"))
-    scored = grams.join(F.broadcast(weights), "bucket", "left")
-    score = scored.groupBy("doc_id", "row_hash", *FEATURES).agg(F.sum("weight").alias("total"), F.count("weight").alias("n"))
+    weights = F.split(F.lit(weight_list(scratch.put(bucket_weights(docs, trusted, scratch), "weights"))), ",").cast("array<bigint>")
+    scratch.drop("trusted", "counts", "weights")
+    rows = rule_features(docs).withColumn("buckets", buckets(F.col("words"))).drop("words", "text")
+    total = F.aggregate("buckets", F.lit(0).cast("bigint"), lambda total, b: total + F.get(weights, b))
+    rows = rows.select("doc_id", *FEATURES, F.when(F.size("buckets") > 0, total).alias("total"), F.size("buckets").cast("bigint").alias("n"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fits = F.coalesce(F.col("total") >= F.lit(round(threshold * MILLION)) * F.col("n"), F.lit(False))
-    return score.select(
+    return rows.select(
         "doc_id", *FEATURES, (F.col("total") / F.col("n") / MILLION).alias("score"),
         failed.alias("base_failed"), (~failed & fits).alias("kept"))
