@@ -51,7 +51,7 @@ l AS ({qn.LABEL_SQL} FROM grid g LEFT JOIN fw f USING (run_id, w0) GROUP BY 1, 2
 SELECT l.run_id, l.window_start_s, CAST(traffic_type_win = 'Attack' AS BIGINT) AS y_bin, coalesce(m.m, 'Benign') AS y_cat
 FROM l LEFT JOIN m_attack_category m ON m.run_id = l.run_id AND m.w0 = l.window_start_s WHERE n_flows > 0""")
 def _derive_labels(spark, d):
-    w = ft.derive_labels(ft.drop_empty_windows(qn.net.window_index(qn.windows(spark, d))))
+    w = ft.derive_labels(ft.drop_empty_windows(qn.index(spark, d)))
     return rounded(w.select("run_id", "window_start_s", "y_bin", "y_cat"))
 
 

@@ -1,5 +1,7 @@
 """Edge rules of the flow and radio windows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,43 @@ def test_read_telemetry_keeps_all_keys(spark, tmp_path):
 def test_lenient_line_with_one_key_in_two_cases(spark):
     df = spark.createDataFrame([("r", '{"dlBytes": 1, "dlbytes": 5, "ulBytes": 2}')], "run_id string, value string")
     assert readers.lenient_records(df).first()["tot_bytes"] == 7.0
+
+
+def many_runs(spark, n=40):
+    rows = [flow(f"r{i}", 1000 * i + j, 3.0 * j, j % 4 == 0, proto=f"p{j % 3}", port=j % 5) for i in range(n) for j in range(30)]
+    return flows(spark, rows)
+
+
+def executed(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_grid_is_never_broadcast(spark):
+    f = many_runs(spark)
+    for df in (net.run_summary(f, 10, 2), net.network_windows(f, 10, 2, keep_empty_windows=False), net.index_windows(f, 10, 2)):
+        _, plan = executed(df)
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if re.search(r"Join \[run_id#\d+, window_start_s#", line)], joins
+
+
+def test_values_are_not_shuffled_once_per_window(spark):
+    f = many_runs(spark, 5)
+    _, plan = executed(net.network_windows(f, 10, 2))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "window_start_s" in line]
+    assert moved and not [line for line in moved if "field" in line or "value" in line], moved
+
+
+def test_heavy_chunks_give_the_same_windows(spark, monkeypatch):
+    f = many_runs(spark, 3).unionByName(flows(spark, [flow("long", j, 7.0 * j, j % 9 == 0, proto=f"p{j % 4}", port=j) for j in range(120)]))
+    want = sorted(map(tuple, net.network_windows(f, 10, 2).collect()), key=str)
+    monkeypatch.setattr(net, "ROWS_PER_TASK", 60)  # some chunks are above it, others below
+    assert sorted(map(tuple, net.network_windows(f, 10, 2).collect()), key=str) == want
+
+
+def test_index_windows_equals_the_index_of_all_windows(spark):
+    f = many_runs(spark, 4)
+    for keep in (True, False):
+        whole = net.window_index(net.network_windows(f, 10, 4, keep_empty_windows=keep))
+        alone = net.index_windows(f, 10, 4, keep_empty_windows=keep)
+        assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
