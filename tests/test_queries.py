@@ -26,3 +26,13 @@ def test_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_moved_keys_meet_no_other_key(spark, duck, tmp_path):
+    """table_diff over more than a million part keys."""
+    spark.read.parquet(f"{DIR}/part.parquet").limit(100).selectExpr(
+        "explode(array(p_partkey, p_partkey + 1000000)) as p_partkey", "* except (p_partkey)").write.parquet(str(tmp_path / "part.parquet"))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    state, note, _, _ = compare(spark, con, "table_diff", entry.queries()["table_diff"], entry.oracle_sql()["table_diff"], str(tmp_path))
+    assert state == "ok", note
