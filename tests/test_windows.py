@@ -189,3 +189,19 @@ def test_index_windows_equals_the_index_of_all_windows(spark):
         whole = net.window_index(net.network_windows(f, 10, 4, keep_empty_windows=keep))
         alone = net.index_windows(f, 10, 4, keep_empty_windows=keep)
         assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+
+
+def test_radio_panes_meet_in_chunks(spark):
+    """Radio panes are shuffled by run and chunk, not once per window they belong to."""
+    f = many_runs(spark, 3)
+    rows = [(f"r{i}", "DoS", j, 100.0 + j, 1.0 * j, 2.0, 3.0 + j % 4, "u") for i in range(2) for j in range(50)]
+    records = spark.createDataFrame(rows, "run_id string, family string, ord bigint, ts_raw double, dlBytes double, ulBytes double, sinr double, ue_id string")
+    w = radio.radio_windows(radio.radio_seconds(records, ["sinr"]), net.index_windows(f, 10, 2), 10, 2, ["sinr"])
+    got, plan = executed(w)
+    fanned = [line for line in plan.splitlines() if "partial_sum(sinr__s" in line]
+    assert fanned and all("_c#" in line for line in fanned), fanned
+    first = next(r for r in got if r["run_id"] == "r0" and r["window_start_s"] == 0)
+    assert first["radio_present_seconds"] == 10 and first["row_count_sum"] == 10
+    assert first["sinr_mean"] == pytest.approx(sum(3.0 + j % 4 for j in range(10)) / 10)
+    alone = next(r for r in got if r["run_id"] == "r2" and r["window_start_s"] == 0)  # a run without telemetry
+    assert alone["radio_window_missing"] == 1 and alone["rate_total_sum"] is None and alone["radio_present_seconds"] is None
