@@ -205,3 +205,21 @@ def test_radio_panes_meet_in_chunks(spark):
     assert first["sinr_mean"] == pytest.approx(sum(3.0 + j % 4 for j in range(10)) / 10)
     alone = next(r for r in got if r["run_id"] == "r2" and r["window_start_s"] == 0)  # a run without telemetry
     assert alone["radio_window_missing"] == 1 and alone["rate_total_sum"] is None and alone["radio_present_seconds"] is None
+
+
+def test_measures_and_values_meet_without_a_shuffle_per_window(spark):
+    """No exchange by window, also not of results; the tasks grow with the rows, not with the session."""
+    _, plan = executed(net.network_windows(many_runs(spark, 5), 10, 2))
+    assert "SortMergeJoin" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if re.search(r"[ (]window_start_s#", line)], moved
+    assert net.meeting_tasks(100 * net.MEETING_ROWS, spark) == 100
+
+
+def test_families_are_no_sorted_state_of_panes(spark):
+    f = many_runs(spark, 3)
+    assert "SortAggregate" not in net.pane_measures(f, 10, 2)._jdf.queryExecution().executedPlan().toString()
+    two = f.withColumn("family", F.when(F.col("ord") % 2 == 0, "B").otherwise("A"))  # the smallest one counts
+    assert {r["family"] for r in net.network_windows(two, 10, 2).collect()} == {"A"}
+    strip = lambda df: sorted(map(tuple, df.drop("family").collect()), key=str)
+    assert strip(net.network_windows(two, 10, 2)) == strip(net.network_windows(f, 10, 2))
