@@ -223,3 +223,27 @@ def test_families_are_no_sorted_state_of_panes(spark):
     assert {r["family"] for r in net.network_windows(two, 10, 2).collect()} == {"A"}
     strip = lambda df: sorted(map(tuple, df.drop("family").collect()), key=str)
     assert strip(net.network_windows(two, 10, 2)) == strip(net.network_windows(f, 10, 2))
+
+
+def test_reported_seconds_give_the_windows_of_all_seconds(spark):
+    rows = []
+    for run, times in (("a", [0, 0, 3, 4, 17, 18, 40]), ("b", [5, 6, 30]), ("c", [2]), ("imp", [None] * 4)):
+        rows += [(run, "f", 10 * i, None if t is None else 1000 + t, "u" if i % 2 else "v",
+                  None if i % 3 == 2 else float((7 * i) % 5), 2.0 * i, None if i % 4 == 1 else 1.5 * i) for i, t in enumerate(times)]
+    recs = records(spark, rows)
+    index = spark.createDataFrame(
+        [(r, "f", s, s + 10, "Benign", None, None, 1, 0.0) for r in ("a", "b", "c", "imp", "none") for s in range(0, 60, 2)],
+        "run_id string, family string, window_start_s bigint, window_end_s bigint, traffic_type_win string, "
+        "attack_category_win string, attack_type_win string, n_flows bigint, attack_flow_frac double")
+    dense = radio.radio_seconds(recs, ["sinr"])
+    sec, lengths = radio.reported_seconds(recs, ["sinr"])
+    key = lambda r: (r["run_id"], r["t_rel_s"])
+    assert sorted(map(tuple, sec.collect()), key=str) == sorted(map(tuple, dense.where("sec_has_record").select(sec.columns).collect()), key=str)
+    assert {key(r) for r in sec.collect()} < {key(r) for r in dense.collect()}
+    at = lambda df: {(r["run_id"], r["window_start_s"]): r for r in df.collect()}
+    want = at(radio.radio_windows(dense, index, 10, 2, ["sinr"]))
+    got = at(radio.radio_windows(sec, index, 10, 2, ["sinr"], lengths))
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        for c, v in r.asDict().items():
+            assert got[k][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (k, c)
