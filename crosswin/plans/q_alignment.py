@@ -18,6 +18,12 @@ def dense_pair(spark, d):
     return settle(al.dense_from_zero(net), "net"), settle(al.dense_from_zero(rad), "rad")
 
 
+def recorded_pair(spark, d):
+    """Only the recorded seconds; absent ones are 0."""
+    net, rad = b.series_pair(spark, d)
+    return settle(al.from_zero(net), "net"), settle(al.from_zero(rad), "rad")
+
+
 @query("packets_to_bytes", "S7", f"""WITH {b.PACKETS_SQL}
 SELECT run_id, CAST(floor(ts) AS BIGINT) AS t, sum(orig_len)::DOUBLE AS v FROM packets GROUP BY 1, 2""")
 def _packets_to_bytes(spark, d):
@@ -155,7 +161,7 @@ prom AS (
 cl AS (SELECT run_id, unnest(range({-WIN}, {WIN + 1}, {STEP})) AS lag FROM lens), {lag_sql('cl', 'coarse', True)}
 SELECT run_id, lag, overlap, {sql_r4('c')} AS corr FROM coarse""")
 def _lag_correlation(spark, d):
-    net, rad = dense_pair(spark, d)
+    net, rad = recorded_pair(spark, d)
     plan = settle(al.series_plan(net, rad, MIN_OV, True).withColumns({
         "lags": F.sequence(F.lit(-WIN).cast("bigint"), F.lit(WIN).cast("bigint"), F.lit(STEP).cast("bigint")),
         "lag_lo": F.lit(-WIN).cast("bigint"), "lag_hi": F.lit(WIN).cast("bigint")}), "plan")
@@ -164,7 +170,7 @@ def _lag_correlation(spark, d):
 
 @query("lag_curves", "K11 T1", f"WITH {BEST_SQL} SELECT run_id, lag, CAST(stage AS BIGINT) AS stage, overlap, {sql_r4('c')} AS corr FROM curves")
 def _lag_curves(spark, d):
-    net, rad = dense_pair(spark, d)
+    net, rad = recorded_pair(spark, d)
     curves, _ = al.search_best_lag(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH, block=256)
     return rounded(curves.select("run_id", "lag", "stage", "overlap", "corr"))
 
@@ -173,7 +179,7 @@ def _lag_curves(spark, d):
 SELECT run_id, nn AS n_net, nr AS n_rad, mo AS min_overlap_search, best_lag, {sql_r4('best_corr')} AS best_corr, overlap_seconds, {sql_r4('best_corr - nxt')} AS peak_prominence
 FROM bst JOIN prom USING (run_id)""")
 def _best_lag(spark, d):
-    net, rad = dense_pair(spark, d)
+    net, rad = recorded_pair(spark, d)
     curves, plan = al.search_best_lag(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH)
     return rounded(al.best_lag(curves, plan, WIN, EXCL))
 
@@ -232,7 +238,7 @@ BEST_SQL, ACC_SQL = _once(BEST_SQL), _once(ACC_SQL)
 
 
 def results(spark, d, block: int = al.NULL_BLOCK):
-    net, rad = dense_pair(spark, d)
+    net, rad = recorded_pair(spark, d)
     r = al.align_runs(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH, False, EXCL, ITERS, QUANT, 0.0, SEED, null_block=block)
     uid = F.col("run_id").cast("bigint")
     return r.withColumns({
@@ -258,7 +264,7 @@ def _circular_shift_null_long(spark, d):
 SELECT run_id, best_lag, CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5::DOUBLE - CAST(run_id AS BIGINT) END AS abs_start_diff_seconds,
        CASE WHEN CAST(run_id AS BIGINT) % 3 <> 0 THEN 1000.5::DOUBLE - CAST(run_id AS BIGINT) + best_lag END AS abs_offset_seconds FROM bst""")
 def _abs_offsets(spark, d):
-    net, rad = dense_pair(spark, d)
+    net, rad = recorded_pair(spark, d)
     curves, plan = al.search_best_lag(net, rad, WIN, STEP, FINE, MIN_OV, SMOOTH)
     uid = F.col("run_id").cast("bigint")
     best = al.best_lag(curves, plan, WIN, EXCL).withColumns({

@@ -298,3 +298,33 @@ def test_meetings_of_shift_blocks_are_not_broadcast(spark):
     plan = null._jdf.queryExecution().executedPlan().toString().splitlines()
     joins = [line for line in plan if "Join [run_id#" in line and (", b#" in line or ", yb#" in line)]
     assert joins and not [line for line in joins if "Broadcast" in line], joins
+
+
+def test_absent_seconds_are_zeros_of_the_series(spark):
+    """Runs without rows for idle seconds, whole blocks of them too, align like their dense form."""
+    rng = np.random.default_rng(21)
+    x = np.where(rng.random(160) < 0.3, rng.gamma(2, 10, 160), 0.0)
+    x[60:110], x[0], x[-1] = 0.0, 1.0, 2.0  # no row in blocks of 16 seconds
+    y = np.concatenate([x[3:], [4.0, 0.0, 5.0]])
+    dense = [series_of(spark, {"a": v, "b": v[::-1].copy()}) for v in (x, y)]
+    few = [s.where("v <> 0 OR t = 0 OR t = 159") for s in dense]
+    out = []
+    for net, rad in (dense, few):
+        curves, _ = al.search_best_lag(net, rad, 12, 3, 3, 30, 3, block=16)
+        r = al.align_runs(net, rad, 12, 3, 3, 30, 3, False, 3, 40, 0.9, 0.0, block=16, null_block=32)
+        out.append([sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in q) for q in df.collect()), key=str) for df in (curves, r)])
+    assert out[0] == out[1]
+    assert {q[0]: q[4] for q in out[1][1]}["a"] == 3
+
+
+def test_aligned_blocks_of_missing_values(spark):
+    net = spark.createDataFrame([("a", t, None if t in (4, 5) else float(t + 1)) for t in range(9)], "run_id string, t bigint, v double")
+    rad = spark.createDataFrame([("a", t, float("nan") if t == 8 else 1.0) for t in range(9)], "run_id string, t bigint, v double")
+    best = spark.createDataFrame([("a", 0, 9, 9)], "run_id string, best_lag bigint, n_net bigint, n_rad bigint")
+    for block in (100, 4):
+        rows = sorted(al.aligned_blocks(net, rad, best, 1, False, block).collect(), key=lambda r: r["b"])
+        x = [v for r in rows for v in r["x"]]
+        assert [i for i, v in enumerate(x) if v is None] == [4, 5, 8] and x[6] == 7.0
+        rows = sorted(al.aligned_blocks(net, rad, best, 2, False, block).collect(), key=lambda r: r["b"])
+        x = [v for r in rows for v in r["x"]]  # two points each: nulls alone are missing, a NaN spreads
+        assert [i for i, v in enumerate(x) if v is None] == [5, 8] and x[4] == 2.0 and x[6] == 3.5
