@@ -247,3 +247,10 @@ def test_reported_seconds_give_the_windows_of_all_seconds(spark):
     for k, r in want.items():
         for c, v in r.asDict().items():
             assert got[k][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (k, c)
+
+
+def test_a_window_merges_five_numbers_of_a_column(spark):
+    panes = net.pane_measures(many_runs(spark, 1), 10, 2)
+    state = [c for c in panes.columns if c.startswith("src_bytes__")]
+    merged = panes.groupBy("run_id").agg(*net.moment_merge(["src_bytes"])).columns[1:]
+    assert merged == state and len(state) == 5
